@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ WORD = r"[\p{L}\p{M}\p{N}]"
 GAP = r"[^\p{L}\p{M}\p{N}]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A lambda body is evaluated per element, and an expression it captures is evaluated anew each
+    time; bound as a lambda variable it is computed once.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -84,3 +95,9 @@ def minor_units(amount: Column) -> Column:
 def share_half_up(amount: Column, part: Column, whole: Column) -> Column:
     """amount * part / whole in whole minor units, rounded half up, in integers throughout."""
     return F.call_function("div", amount * part * 2 + whole, whole * 2)
+
+
+def word_runs(items: Column, size: int, make: Callable[[Column], Column]) -> Column:
+    """``make`` of every run of ``size`` consecutive items; of all items when there are fewer."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items) - (size - 1), F.lit(1)))
+    return F.transform(starts, lambda i: make(F.slice(items, i, F.lit(size))))

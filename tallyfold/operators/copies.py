@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import lookup_join
-from ..functions.text import words
+from ..functions.text import let, word_runs, words
 
 
 def exact_copies(entries: DataFrame, key: str, body: str) -> DataFrame:
@@ -25,13 +25,13 @@ def exact_copies(entries: DataFrame, key: str, body: str) -> DataFrame:
 
 def _passages(text: Column, size: int) -> Column:
     """Distinct hashes of all runs of ``size`` words, ignoring case and punctuation."""
-    items = words(F.lower(text))
-    count = F.size(items)
-    starts = F.sequence(F.lit(1), F.greatest(count - (size - 1), F.lit(1)))
-    runs = F.transform(
-        starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(items, i, F.lit(size)), " ")))
-    )
-    return F.when(count > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<binary>"))
+    nothing = F.array().cast("array<binary>")
+
+    def hashes(items: Column) -> Column:
+        runs = word_runs(items, size, lambda run: F.unhex(F.md5(F.array_join(run, " "))))
+        return F.when(F.size(items) > 0, F.array_distinct(runs)).otherwise(nothing)
+
+    return let(words(F.lower(text)), hashes)
 
 
 def passage_origins(entries: DataFrame, key: str, body: str, size: int = 8) -> DataFrame:

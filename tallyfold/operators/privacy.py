@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import OrderedRows, lookup_join, row_number
-from ..functions.text import GAP, PII_PATTERNS, WORD, words
+from ..functions.text import GAP, PII_PATTERNS, WORD, let, words
 from ..functions.text import fold_digits as folded
 
 
@@ -67,17 +67,23 @@ def _literal(text: Column) -> Column:
 def _phrases(text: Column, longest: int) -> Column:
     """Distinct runs of 1 to ``longest`` consecutive words, with what stands between them."""
     from_first = F.regexp_replace(text, f"^{GAP}", "")
-    pieces = F.regexp_extract_all(from_first, F.lit(f"({WORD}+|{GAP})"), F.lit(1))
-    count = F.call_function("div", F.size(pieces) + 1, F.lit(2)).cast("int")
-    spans = []
-    for size in range(1, longest + 1):
-        starts = F.sequence(F.lit(1), count - (size - 1))
-        runs = F.transform(
-            starts,
-            lambda i, n=size: F.array_join(F.slice(pieces, 2 * i - 1, F.lit(2 * n - 1)), ""),
+    nothing = F.array().cast("array<string>")
+
+    def runs(pieces: Column, size: int) -> Column:
+        # Words stand at odd places and what separates them at even ones.
+        count = F.call_function("div", F.size(pieces) + 1, F.lit(2)).cast("int")
+        starts = F.sequence(F.lit(1), F.greatest(count - (size - 1), F.lit(1)))
+        phrases = F.transform(
+            starts, lambda i: F.array_join(F.slice(pieces, 2 * i - 1, F.lit(2 * size - 1)), "")
         )
-        spans.append(F.when(count >= size, runs).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(F.array(*spans)))
+        return F.when(count >= size, phrases).otherwise(nothing)
+
+    return let(
+        F.regexp_extract_all(from_first, F.lit(f"({WORD}+|{GAP})"), F.lit(1)),
+        lambda pieces: F.array_distinct(
+            F.flatten(F.array(*[runs(pieces, n) for n in range(1, longest + 1)]))
+        ),
+    )
 
 
 def roster_codes(
