@@ -9,6 +9,7 @@ that makes the broadcasts below safe.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,25 @@ def _columns(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def hot_keys(df: DataFrame, keys, fraction: float = 1.0) -> tuple[DataFrame | None, int, int]:
-    """(hot keys or None, rows held by hot keys, row limit per key).
+@dataclass(frozen=True)
+class Hot:
+    """The hot keys of a table: fewer than MAX_HOT values, or None when there are none.
 
-    With ``fraction`` below one the counts come from a sample. This only decides which plan a key
-    takes; results never depend on it.
+    One measurement serves every later step on the same key, also after rows were filtered out:
+    it only decides which plan a key takes, never the result.
     """
+
+    values: DataFrame | None
+    rows: int
+    limit: int
+
+    def within(self, df: DataFrame, keys) -> Hot:
+        """The hot values of a finer key; there are none where the coarser key has none."""
+        return self if self.values is None else measure(df, keys)
+
+
+def measure(df: DataFrame, keys, fraction: float = 1.0) -> Hot:
+    """Find the hot keys from exact counts, or from those of a sample for ``fraction`` below one."""
     keys = _columns(keys)
     source = df.select(*keys)
     if fraction < 1.0:
@@ -43,11 +57,11 @@ def hot_keys(df: DataFrame, keys, fraction: float = 1.0) -> tuple[DataFrame | No
     total, top = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(int(task_rows(df) * fraction), (total or 0) // MAX_HOT, 1)
     if (top or 0) <= limit:
-        return None, 0, limit
+        return Hot(None, 0, limit)
     rows = counts.where(F.col("_rows") > limit).collect()  # fewer than MAX_HOT rows, see above
     held = int(sum(r["_rows"] for r in rows) / fraction)
-    hot = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], source.schema)
-    return hot, held, max(int(limit / fraction), 1)
+    values = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], source.schema)
+    return Hot(values, held, max(int(limit / fraction), 1))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -63,7 +77,7 @@ def _without(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lookup_join(
-    big: DataFrame, lookup: DataFrame, keys, how: str = "left", fraction: float = 1.0
+    big: DataFrame, lookup: DataFrame, keys, how: str = "left", hot: Hot | None = None
 ) -> DataFrame:
     """Join ``big`` to a ``lookup`` holding at most one row per key.
 
@@ -72,12 +86,15 @@ def lookup_join(
     join. Without hot keys this is just the ordinary join.
     """
     keys = _columns(keys)
-    hot, _, _ = hot_keys(big, keys, fraction)
-    if hot is None:
+    if big.isStreaming:  # a stream-static join; a micro-batch cannot be counted ahead
+        return big.join(lookup, keys, how)
+    values = (hot or measure(big, keys)).values
+    if values is None:
         return big.join(lookup, keys, how)
-    cold = _without(big, hot, keys).join(lookup, keys, how)
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
-    warm = _only(big, hot, keys).join(F.broadcast(hot_lookup), keys, how)
+    values = values.toDF(*keys)
+    cold = _without(big, values, keys).join(lookup, keys, how)
+    hot_lookup = lookup.join(F.broadcast(values), keys, "left_semi")
+    warm = _only(big, values, keys).join(F.broadcast(hot_lookup), keys, how)
     return cold.unionByName(warm)
 
 
@@ -148,20 +165,28 @@ class OrderedRows:
     cut elsewhere. ``order`` must be total: a tie would leave the order within a key open.
     """
 
-    def __init__(self, df: DataFrame, keys, order: Sequence[Column | str], slice_all: bool = False):
+    def __init__(
+        self,
+        df: DataFrame,
+        keys,
+        order: Sequence[Column | str],
+        hot: Hot | None = None,
+        slice_all: bool = False,
+    ):
         self.keys = _columns(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.light: DataFrame | None = df
         self.heavy: DataFrame | None = None
         if slice_all:
-            total = df.count()
-            slices = min(max(total // task_rows(df) + 1, df.sparkSession.sparkContext.defaultParallelism), MAX_HOT)
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            slices = min(max(df.count() // task_rows(df) + 1, cores), MAX_HOT)
             self.light, self.heavy = None, self._sliced(df, slices)
             return
-        hot, held, limit = hot_keys(df, self.keys)
-        if hot is not None:
-            self.light = _without(df, hot, self.keys)
-            self.heavy = self._sliced(_only(df, hot, self.keys), held // limit + 1)
+        hot = hot or measure(df, self.keys)
+        if hot.values is not None:
+            values = hot.values.toDF(*self.keys)
+            self.light = _without(df, values, self.keys)
+            self.heavy = self._sliced(_only(df, values, self.keys), hot.rows // hot.limit + 1)
 
     def _sliced(self, df: DataFrame, slices: int) -> DataFrame:
         keys = [F.col(k) for k in self.keys]

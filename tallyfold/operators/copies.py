@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join
+from ..functions.skew import lookup_join, measure
 from ..functions.text import let, word_runs, words
+from ..session import stored
 
 
 def exact_copies(entries: DataFrame, key: str, body: str) -> DataFrame:
@@ -25,10 +26,10 @@ def exact_copies(entries: DataFrame, key: str, body: str) -> DataFrame:
 
 def _passages(text: Column, size: int) -> Column:
     """Distinct hashes of all runs of ``size`` words, ignoring case and punctuation."""
-    nothing = F.array().cast("array<binary>")
+    nothing = F.array().cast("array<string>")
 
     def hashes(items: Column) -> Column:
-        runs = word_runs(items, size, lambda run: F.unhex(F.md5(F.array_join(run, " "))))
+        runs = word_runs(items, size, lambda run: F.md5(F.array_join(run, " ")))
         return F.when(F.size(items) > 0, F.array_distinct(runs)).otherwise(nothing)
 
     return let(words(F.lower(text)), hashes)
@@ -45,13 +46,21 @@ def passage_origins(entries: DataFrame, key: str, body: str, size: int = 8) -> D
     digests = entries.select(key, F.sha2(F.col(body), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min(key).alias(key)).select(key)
     texts = entries.select(key, body).join(firsts, key, "left_semi")
-    passages = texts.select(key, F.explode(_passages(F.col(body), size)).alias("passage"))
+    hashed = texts.select(key, _passages(F.col(body), size).alias("all"))
+    exploded = hashed.select(
+        key, F.size("all").cast("long").alias("passages"), F.explode_outer("all").alias("hex")
+    )
+    # Read four times below, so hashed once: 16 bytes a passage instead of parsing texts again.
+    rows = stored(exploded.select(key, "passages", F.unhex("hex").alias("passage")), "passages")
+    sizes = rows.groupBy(key).agg(F.max("passages").alias("passages"))
+    passages = rows.select(key, "passage").where("passage is not null")
     owners = passages.groupBy("passage").agg(
         F.min(key).alias("owner"), F.count(F.lit(1)).alias("n")
     )
     # A passage of one entry owns itself and needs no join back.
     shared = owners.where("n > 1").select("passage", "owner")
-    met = lookup_join(passages, shared, "passage", "inner", fraction=0.02)
+    hot = measure(passages, "passage", fraction=0.02)
+    met = lookup_join(passages, shared, "passage", "inner", hot=hot)
     taken = met.where(F.col("owner") != F.col(key)).groupBy(key, "owner").agg(
         F.count(F.lit(1)).alias("shared")
     )
@@ -61,10 +70,9 @@ def passage_origins(entries: DataFrame, key: str, body: str, size: int = 8) -> D
         F.max("shared").alias("from_source"),
         F.min_by("owner", F.struct(-F.col("shared"), F.col("owner"))).alias("source"),
     )
-    sizes = texts.select(key, F.size(_passages(F.col(body), size)).alias("passages"))
     return sizes.join(per_entry, key, "left").select(
         key,
-        F.col("passages").cast("long").alias("passages"),
+        "passages",
         F.coalesce("copied", F.lit(0)).alias("copied"),
         "source",
         F.coalesce("from_source", F.lit(0)).alias("from_source"),

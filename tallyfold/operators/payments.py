@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import (
+    Hot,
     OrderedRows,
     lookup_join,
+    measure,
     previous,
     row_number,
     running_last,
@@ -39,8 +41,9 @@ def resolve_object(events: DataFrame, payments: DataFrame, invoices: DataFrame)
             F.col("id").alias("object_id"), F.struct("status", "user_id").alias(source)
         )
 
-    both = lookup_join(events, looked_up(payments, "payment"), "object_id")
-    both = lookup_join(both, looked_up(invoices, "invoice"), "object_id")
+    hot = measure(events, "object_id")
+    both = lookup_join(events, looked_up(payments, "payment"), "object_id", hot=hot)
+    both = lookup_join(both, looked_up(invoices, "invoice"), "object_id", hot=hot)
     found = F.when(F.col("payment").isNotNull(), "payment").when(
         F.col("invoice").isNotNull(), "invoice"
     )
@@ -90,6 +93,7 @@ def suppress_replays(
     ref: str = "ref",
     order: Sequence[str] = ("received_at", "ref"),
     stored: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Drop redeliveries.
 
@@ -106,14 +110,13 @@ def suppress_replays(
         return kept.join(seen, [user, ref], "left_anti").select(*events.columns)
     if mode != "last":
         raise ValueError(f"unknown mode {mode!r}")
-    scan = OrderedRows(events, user, order).add(
-        _before=previous(F.col(ref)), _n=row_number()
-    )
-    rows = scan.rows()
+    hot = hot or measure(events, user)
+    running = {"_before": previous(F.col(ref)), "_n": row_number()}
+    rows = OrderedRows(events, user, order, hot).add(**running).rows()
     before = F.col("_before")
     if stored is not None:
         known = stored.select(user, F.col("provider_ref").alias("_stored"))
-        rows = lookup_join(rows, known, user)
+        rows = lookup_join(rows, known, user, hot=hot)
         before = F.when(F.col("_n") == 1, F.col("_stored")).otherwise(before)
     return rows.where(~before.eqNullSafe(F.col(ref))).select(*events.columns)
 
@@ -126,6 +129,7 @@ def stack_periods(
     ts: str = "paid_at",
     order: Sequence[str] = ("ref",),
     current: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add ``expires_ms`` and ``expires_at``: each payment extends max(its time, end so far).
 
@@ -137,13 +141,14 @@ def stack_periods(
     """
     scan_order = [ts, *order]
     kept = [*paid.columns]
+    hot = hot or measure(paid, user)
     if current is not None:
         ends = current.select(user, F.col("expires_at").alias("_current"))
-        paid = lookup_join(paid, ends, user)
+        paid = lookup_join(paid, ends, user, hot=hot)
     else:
         paid = paid.withColumn("_current", F.lit(None).cast("timestamp"))
     if year == "calendar":
-        return _stack_calendar_years(paid, user, ts, scan_order, kept)
+        return _stack_calendar_years(paid, user, ts, scan_order, kept, hot)
     if year != "days365":
         raise ValueError(f"unknown year {year!r}")
     days = F.lit(period) if isinstance(period, int) else period
@@ -152,7 +157,7 @@ def stack_periods(
     )
     start = F.greatest(F.col("_t"), F.unix_millis("_current"))
     rows = (
-        OrderedRows(paid, user, scan_order)
+        OrderedRows(paid, user, scan_order, hot)
         .add(_s=running_sum(F.col("_p")))
         .map(lambda df: df.withColumn("_lead", start - (F.col("_s") - F.col("_p"))))
         .add(_peak=running_max(F.col("_lead")))
@@ -169,13 +174,13 @@ def _as_moment() -> Column:
     )
 
 
-def _stack_calendar_years(paid, user, ts, order, kept) -> DataFrame:
+def _stack_calendar_years(paid, user, ts, order, kept, hot) -> DataFrame:
     def years(n: Column) -> Column:
         return F.make_ym_interval(n.cast("int"))
 
     start = F.greatest(F.col(ts).cast("timestamp"), F.col("_current"))
     rows = (
-        OrderedRows(paid, user, order)
+        OrderedRows(paid, user, order, hot)
         .add(_n=row_number())
         .map(
             lambda df: df.withColumn("_lead", (start + years(F.lit(1))) - years(F.col("_n") - 1))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import OrderedRows, lookup_join, row_number
+from ..functions.skew import OrderedRows, lookup_join, measure, row_number
 from ..functions.text import GAP, PII_PATTERNS, WORD, let, words
 from ..functions.text import fold_digits as folded
 
@@ -104,10 +104,12 @@ def roster_codes(
     base = docs.groupBy(owner).agg(F.max(highest).alias("_base")).where("_base is not null")
     trimmed = F.regexp_replace(F.col(name), f"^{GAP}|{GAP}$", "")
     names = roster.select(owner, trimmed.alias("name")).where(F.col("name").rlike(r"\p{L}"))
-    numbered = OrderedRows(names.distinct(), owner, ["name"]).add(_n=row_number()).rows()
+    names = names.distinct()
+    hot = measure(names, owner)
+    numbered = OrderedRows(names, owner, ["name"], hot).add(_n=row_number()).rows()
     number = F.col("_n") + F.coalesce("_base", F.lit(0))
     return (
-        lookup_join(numbered, base, owner)
+        lookup_join(numbered, base, owner, hot=hot)
         .withColumn("number", number)
         .select(owner, "name", F.concat(F.lit(code), F.col("number")).alias("code"), "number")
     )

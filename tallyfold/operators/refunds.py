@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import add_business_days
-from ..functions.skew import OrderedRows, lookup_join, previous, running_sum
+from ..functions.skew import OrderedRows, lookup_join, measure, previous, running_sum
 from ..functions.text import share_half_up
 
 # Fixed values of the refund rules.
@@ -35,8 +35,10 @@ def refund_decision(payments: DataFrame, requests: DataFrame, exports: DataFrame
         F.coalesce(F.bool_or("complete"), F.lit(False)).alias("_exported"),
         F.coalesce(F.bool_or("broken"), F.lit(False)).alias("_broken"),
     )
-    known = lookup_join(requests, payments.select("payment_id", "paid_on"), "payment_id")
-    known = lookup_join(known, made, "payment_id")
+    hot = measure(requests, "payment_id")
+    paid = payments.select("payment_id", "paid_on")
+    known = lookup_join(requests, paid, "payment_id", hot=hot)
+    known = lookup_join(known, made, "payment_id", hot=hot)
     decision = (
         F.when(F.col("paid_on").isNull(), "unknown_payment")
         .when(F.col("requested_on") < F.col("paid_on"), "invalid")
@@ -58,8 +60,9 @@ def late_remedies(
     ``outages``: user_id, outage_days (longest unbroken outage). Nothing is due after a violation.
     """
     price = (F.lit(price) if isinstance(price, int) else price).cast("long")
-    known = lookup_join(requests, subs.select("user_id", "expires_on"), "user_id")
-    known = lookup_join(known, outages.select("user_id", "outage_days"), "user_id")
+    hot = measure(requests, "user_id")
+    known = lookup_join(requests, subs.select("user_id", "expires_on"), "user_id", hot=hot)
+    known = lookup_join(known, outages.select("user_id", "outage_days"), "user_id", hot=hot)
     remedy = F.lit("none")
     for cause, offered in CAUSE_REMEDY.items():
         remedy = F.when(F.col("cause") == cause, offered).otherwise(remedy)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import measure
 from ..operators.payments import activate, classify_events, suppress_replays
 from ..operators.state import bootstrap_rows
 from ..operators.submissions import (
@@ -16,7 +17,6 @@ from ..operators.submissions import (
     split_identity,
     triage,
 )
-from ..functions.skew import lookup_join
 from ..session import durable
 
 EMPTY_SUBSCRIPTION = {
@@ -38,8 +38,9 @@ def free_subscriptions(users: DataFrame) -> DataFrame:
 
 def payment_state(users: DataFrame, paid: DataFrame, dedupe: str = "last") -> DataFrame:
     """Subscriptions after ``paid`` (user_id, ref, paid_at), from default rows."""
-    kept = suppress_replays(paid, mode=dedupe, order=("paid_at", "ref"))
-    return activate(free_subscriptions(users), kept)
+    hot = measure(paid, "user_id")
+    kept = suppress_replays(paid, mode=dedupe, order=("paid_at", "ref"), hot=hot)
+    return activate(free_subscriptions(users), kept, hot=hot)
 
 
 def process_notices(
@@ -56,8 +57,9 @@ def process_notices(
         "user_id", F.col("object_id").alias("ref"), F.col("received_at").alias("paid_at")
     )
     stored = subs.select("user_id", F.col("provider_ref").cast(paid.schema["ref"].dataType).alias("provider_ref"))
-    kept = suppress_replays(paid, dedupe, order=("paid_at", "ref"), stored=stored)
-    return {"outcomes": outcomes, "subscriptions": activate(subs, kept)}
+    hot = measure(paid, "user_id")
+    kept = suppress_replays(paid, dedupe, order=("paid_at", "ref"), stored=stored, hot=hot)
+    return {"outcomes": outcomes, "subscriptions": activate(subs, kept, hot=hot)}
 
 
 def process_submissions(

@@ -68,3 +68,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so that later plans all see the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder: computed once, read by column afterwards."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
