@@ -22,7 +22,8 @@ class StreamTables(Tables):
     def __getattr__(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
         schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).parquet(path)
+        # As a pattern the path may name a single file as well as a folder of them.
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
 
 
 def event_stream(t: Tables) -> DataFrame:

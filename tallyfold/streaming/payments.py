@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +12,6 @@ from pyspark.sql import types as T
 from ..functions.skew import measure
 from ..operators.payments import activate, suppress_replays
 
-STATE = "user_id string, status string, plan string, expires_at timestamp, provider string, provider_ref string, updated_at timestamp"
-
 
 def drop_redeliveries(
     stream: DataFrame, keys: list[str], ts: str = "received_at", delay: str = "7 days"
@@ -25,14 +24,16 @@ def subscriptions_after(
     spark: SparkSession, base: str, initial: DataFrame, before: int | None = None
 ) -> DataFrame:
     """Each user's row as of the batches below ``before`` (all when None), else the initial row."""
-    schema = initial.schema.add("batch", T.LongType())
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    columns = initial.columns
+    schema = T.StructType([*initial.schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        log = spark.read.schema(schema).parquet(base)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return initial
-    log = spark.read.schema(schema).parquet(base)
     if before is not None:
         log = log.where(F.col("batch") < before)
-    columns = initial.columns
     rows = log.unionByName(initial.withColumn("batch", F.lit(-1).cast("long")))
     latest = F.max_by(F.struct(*columns), F.col("batch"))
     return rows.groupBy("user_id").agg(latest.alias("row")).select("row.*")
