@@ -19,6 +19,7 @@ from ..session import durable
 
 MAX_HOT = 10_000
 ROWS_PER_TASK = 1_000_000
+SAMPLE = 0.02
 
 
 def task_rows(df: DataFrame) -> int:
@@ -48,11 +49,12 @@ class Hot:
 
 
 def measure(df: DataFrame, keys, fraction: float = 1.0) -> Hot:
-    """Find the hot keys from exact counts, or from those of a sample for ``fraction`` below one."""
+    """Find the hot keys of ``df`` by exact counts.
+
+    Where counting costs as much as the join itself, pass a sample of the rows and its ``fraction``.
+    """
     keys = _columns(keys)
     source = df.select(*keys)
-    if fraction < 1.0:
-        source = source.sample(fraction, seed=7)
     counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, top = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(int(task_rows(df) * fraction), (total or 0) // MAX_HOT, 1)
@@ -83,7 +85,7 @@ def lookup_join(
 
     ``how`` is inner, left, left_semi or left_anti. Rows of hot keys meet the (fewer than MAX_HOT)
     lookup rows of those keys by broadcast, where they already are; all others take the ordinary
-    join. Without hot keys this is just the ordinary join.
+    join. Without hot keys this is just the ordinary join. Lookup rows are expected to be narrow.
     """
     keys = _columns(keys)
     if big.isStreaming:  # a stream-static join; a micro-batch cannot be counted ahead

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join, measure
+from ..functions.skew import SAMPLE, lookup_join, measure
 from ..functions.text import let, word_runs, words
 from ..session import stored
 
 
-def exact_copies(entries: DataFrame, key: str, body: str) -> DataFrame:
+def text_digests(entries: DataFrame, key: str, body: str) -> DataFrame:
+    """``key`` and ``digest`` of the text, stored so that texts are read once for all that follows."""
+    return stored(entries.select(key, F.unhex(F.sha2(body, 256)).alias("digest")), "digests")
+
+
+def exact_copies(
+    entries: DataFrame, key: str, body: str, digests: DataFrame | None = None
+) -> DataFrame:
     """``key``, ``original``: every later entry with the same text as an earlier (smaller) key."""
-    digests = entries.select(key, F.sha2(F.col(body), 256).alias("digest"))
+    digests = text_digests(entries, key, body) if digests is None else digests
     firsts = digests.groupBy("digest").agg(
         F.min(key).alias("original"), F.count(F.lit(1)).alias("n")
     )
@@ -35,7 +40,9 @@ def _passages(text: Column, size: int) -> Column:
     return let(words(F.lower(text)), hashes)
 
 
-def passage_origins(entries: DataFrame, key: str, body: str, size: int = 8) -> DataFrame:
+def passage_origins(
+    entries: DataFrame, key: str, body: str, size: int = 8, digests: DataFrame | None = None
+) -> DataFrame:
     """``key``, ``passages``, ``copied``, ``source``, ``from_source`` for each distinct text.
 
     A passage belongs to the smallest key that has it. ``copied`` counts an entry's passages that
@@ -43,7 +50,7 @@ def passage_origins(entries: DataFrame, key: str, body: str, size: int = 8) -> D
     compared with its one owner, so work grows with the passages and no pairs are formed, however
     many entries share them.
     """
-    digests = entries.select(key, F.sha2(F.col(body), 256).alias("digest"))
+    digests = text_digests(entries, key, body) if digests is None else digests
     firsts = digests.groupBy("digest").agg(F.min(key).alias(key)).select(key)
     texts = entries.select(key, body).join(firsts, key, "left_semi")
     hashed = texts.select(key, _passages(F.col(body), size).alias("all"))
@@ -59,7 +66,7 @@ def passage_origins(entries: DataFrame, key: str, body: str, size: int = 8) -> D
     )
     # A passage of one entry owns itself and needs no join back.
     shared = owners.where("n > 1").select("passage", "owner")
-    hot = measure(passages, "passage", fraction=0.02)
+    hot = measure(passages.sample(SAMPLE, seed=7), "passage", SAMPLE)
     met = lookup_join(passages, shared, "passage", "inner", hot=hot)
     taken = met.where(F.col("owner") != F.col(key)).groupBy(key, "owner").agg(
         F.count(F.lit(1)).alias("shared")
@@ -83,6 +90,7 @@ def find_copies(
     entries: DataFrame, key: str, body: str, threshold: float = 0.5, size: int = 8
 ) -> dict[str, DataFrame]:
     """``exact`` copies, and ``near``: distinct texts with at least ``threshold`` copied passages."""
-    origins = passage_origins(entries, key, body, size)
+    digests = text_digests(entries, key, body)
+    origins = passage_origins(entries, key, body, size, digests)
     near = origins.where(F.col("copied") >= F.col("passages") * threshold).where("copied > 0")
-    return {"exact": exact_copies(entries, key, body), "near": near}
+    return {"exact": exact_copies(entries, key, body, digests), "near": near}

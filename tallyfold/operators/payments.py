@@ -29,27 +29,27 @@ def _present(text: Column) -> Column:
     return text.isNotNull() & (text.cast("string") != "")
 
 
-def resolve_object(events: DataFrame, payments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Add ``object`` (status, user_id) and ``found_in``: the payment with this id, else the invoice.
-
-    One notice may be redelivered any number of times, so the event side can be skewed; ids are
-    unique among payments and among invoices.
-    """
+def billing_objects(payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Payments and invoices as one table, unique by ``object_id``; a payment hides an invoice."""
 
-    def looked_up(objects: DataFrame, source: str) -> DataFrame:
+    def tagged(objects: DataFrame, place: int, name: str) -> DataFrame:
         return objects.select(
-            F.col("id").alias("object_id"), F.struct("status", "user_id").alias(source)
+            F.col("id").alias("object_id"),
+            F.struct(
+                F.lit(place).alias("place"), F.lit(name).alias("found_in"), "status", "user_id"
+            ).alias("o"),
         )
 
-    hot = measure(events, "object_id")
-    both = lookup_join(events, looked_up(payments, "payment"), "object_id", hot=hot)
-    both = lookup_join(both, looked_up(invoices, "invoice"), "object_id", hot=hot)
-    found = F.when(F.col("payment").isNotNull(), "payment").when(
-        F.col("invoice").isNotNull(), "invoice"
-    )
-    return both.withColumns(
-        {"object": F.coalesce("payment", "invoice"), "found_in": found}
-    ).drop("payment", "invoice")
+    both = tagged(payments, 0, "payment").unionByName(tagged(invoices, 1, "invoice"))
+    return both.groupBy("object_id").agg(F.min("o").alias("o")).select("object_id", "o.*").drop("place")
+
+
+def resolve_object(events: DataFrame, payments: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Add ``found_in``, ``status`` and ``user_id`` of the payment with this id, else the invoice.
+
+    One notice may be redelivered any number of times, so the event side can be skewed.
+    """
+    return lookup_join(events, billing_objects(payments, invoices), "object_id")
 
 
 def classify_events(
@@ -59,31 +59,26 @@ def classify_events(
     subs: DataFrame,
     token: str | None = None,
 ) -> DataFrame:
-    """Add ``user_id`` and ``outcome`` to each notice; the first failing test decides.
+    """Add ``found_in``, ``status``, ``user_id`` and ``outcome``; the first failing test decides.
 
     bad_token, no_id, unverifiable, not_paid, no_user, already, activated. ``already`` compares
     with the reference stored before this batch; repeats inside a batch are ``suppress_replays``.
+    The stored reference joins the objects, which are unique by id, before they meet the events.
     """
-    resolved = resolve_object(events, payments, invoices).withColumn(
-        "user_id", F.col("object.user_id")
-    )
     stored = subs.select("user_id", F.col("provider_ref").alias("_stored"))
-    known = lookup_join(resolved, stored, "user_id")
-    wrong_token = (
-        F.lit(False)
-        if not token
-        else ~F.col("secret_token").eqNullSafe(F.lit(token))
-    )
+    objects = lookup_join(billing_objects(payments, invoices), stored, "user_id")
+    known = lookup_join(events, objects, "object_id")
+    wrong_token = F.lit(False) if not token else ~F.col("secret_token").eqNullSafe(F.lit(token))
     outcome = (
         F.when(wrong_token, "bad_token")
         .when(~_present(F.col("object_id")), "no_id")
-        .when(F.col("object").isNull(), "unverifiable")
-        .when(~F.col("object.status").eqNullSafe(F.lit("paid")), "not_paid")
+        .when(F.col("found_in").isNull(), "unverifiable")
+        .when(~F.col("status").eqNullSafe(F.lit("paid")), "not_paid")
         .when(~_present(F.col("user_id")), "no_user")
         .when(F.col("_stored").cast("string") == F.col("object_id").cast("string"), "already")
         .otherwise("activated")
     )
-    return known.withColumn("outcome", outcome).drop("_stored", "object")
+    return known.withColumn("outcome", outcome).drop("_stored")
 
 
 def suppress_replays(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import OrderedRows, lookup_join, measure, row_number
+from ..functions.skew import SAMPLE, OrderedRows, lookup_join, measure, row_number
 from ..functions.text import GAP, PII_PATTERNS, WORD, let, words
 from ..functions.text import fold_digits as folded
 
@@ -132,8 +132,13 @@ def pseudonymise(
     longer names are tried first, and a name inside another word is left alone.
     """
     codes = roster_codes(roster, docs, owner, name, body, code)
-    phrases = docs.select(*key, owner, F.explode(_phrases(F.col(body), longest)).alias("name"))
-    met = lookup_join(phrases, codes.select(owner, "name", "number"), [owner, "name"], "inner")
+
+    def phrases(df: DataFrame) -> DataFrame:
+        return df.select(*key, owner, F.explode(_phrases(F.col(body), longest)).alias("name"))
+
+    pair = [owner, "name"]
+    hot = measure(phrases(docs.sample(SAMPLE, seed=7)), pair, SAMPLE)
+    met = lookup_join(phrases(docs), codes.select(*pair, "number"), pair, "inner", hot)
     # At most one element per distinct phrase of the document.
     hit = F.struct((-F.length("name")).alias("size"), "name", "number")
     hits = met.groupBy(*key).agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
@@ -188,9 +193,13 @@ def find_suspects(
     docs: DataFrame, names: DataFrame, key: Sequence[str], body: str = "text", name: str = "name"
 ) -> DataFrame:
     """Listed first names that still occur in each document, as ``suspects`` in name order."""
-    tokens = docs.select(*key, F.explode(F.array_distinct(words(F.col(body)))).alias("name"))
+
+    def tokens(df: DataFrame) -> DataFrame:
+        return df.select(*key, F.explode(F.array_distinct(words(F.col(body)))).alias("name"))
+
     listed = names.select(F.col(name).alias("name")).distinct()
-    met = lookup_join(tokens, listed, "name", "left_semi")
+    hot = measure(tokens(docs.sample(SAMPLE, seed=7)), "name", SAMPLE)
+    met = lookup_join(tokens(docs), listed, "name", "left_semi", hot)
     # At most one element per distinct word of the document.
     found = met.groupBy(*key).agg(F.array_sort(F.collect_list("name")).alias("suspects"))
     return docs.join(found, list(key), "left").withColumn(

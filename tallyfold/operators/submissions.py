@@ -23,6 +23,21 @@ ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 REF_SIGNS = 6
 
 
+def body_facts(subs: DataFrame) -> DataFrame:
+    """Add what the gates and the triage need to know of the wide ``html`` column.
+
+    ``content_length`` (when not declared), ``text_chars`` and ``leaked``. The operators below use
+    these columns where present, so that the body itself can stay out of every shuffle.
+    """
+    facts = {
+        "text_chars": F.length(strip_space(F.col("html"))),
+        "leaked": any_pii(F.col("html")),
+    }
+    if "content_length" not in subs.columns:
+        facts["content_length"] = F.octet_length("html")
+    return subs.withColumns(facts)
+
+
 def decide_submissions(
     subs: DataFrame,
     rounds: DataFrame,
@@ -33,21 +48,20 @@ def decide_submissions(
     """Add ``decision``: the first gate a submission fails, else accepted.
 
     unauthenticated, not_open, bad_close_date, late, too_large, short, stats, accepted. ``subs``
-    has user_id, round, received_at, content_length, html and stats (JSON text); ``rounds`` has
-    round, open and closes_at (text).
+    has user_id, round, received_at, content_length, html (or its ``body_facts``) and stats (JSON
+    text); ``rounds`` has round, open and closes_at (text).
     """
+    given = subs.columns
+    if "text_chars" not in given:
+        subs = body_facts(subs)
     terms = rounds.select("round", F.col("open").alias("_open"), F.col("closes_at").alias("_closes"))
     known = lookup_join(subs, terms, "round")
     closes = F.try_to_timestamp(F.col("_closes"))
-    size = (
-        F.col("content_length") if "content_length" in subs.columns else F.octet_length("html")
-    )
     enough = F.lit(True)
     for name, least in min_stats.items():
         number = json_number(F.col("stats"), f"$.{name}")
         # NaN sorts above every number in Spark but fails every comparison on the web.
         enough = enough & F.coalesce((number >= least) & ~F.isnan(number), F.lit(False))
-    text_size = F.coalesce(F.length(strip_space(F.col("html"))), F.lit(0))
     decision = (
         F.when(F.col("user_id").isNull(), "unauthenticated")
         .when(
@@ -56,18 +70,19 @@ def decide_submissions(
         )
         .when(closes.isNull(), "bad_close_date")
         .when(F.col("received_at") > closes, "late")
-        .when(F.coalesce(size, F.lit(0)) > max_bytes, "too_large")
-        .when(text_size < min_chars, "short")
+        .when(F.coalesce("content_length", F.lit(0)) > max_bytes, "too_large")
+        .when(F.coalesce("text_chars", F.lit(0)) < min_chars, "short")
         .when(~enough, "stats")
         .otherwise("accepted")
     )
-    return known.withColumn("decision", decision).drop("_open", "_closes")
+    return known.withColumn("decision", decision).select(*given, "decision")
 
 
 def normalise_submissions(subs: DataFrame, users: DataFrame) -> DataFrame:
     """Accepted submissions in stored form: cut texts, lenient integers, string-only suspects."""
     accounts = users.select(F.col("id").alias("user_id"), F.col("email").alias("_email"))
     known = lookup_join(subs, accounts, "user_id")
+    bodies = [c for c in ("html", "text_chars", "leaked") if c in subs.columns]
     teacher = F.col("teacher")
     email = F.coalesce(F.nullif(teacher["email"], F.lit("")), F.col("_email"))
     return known.select(
@@ -75,7 +90,7 @@ def normalise_submissions(subs: DataFrame, users: DataFrame) -> DataFrame:
         *[clipped(teacher[c], 200).alias(c) for c in ("name", "school", "region")],
         clipped(teacher["phone"], 40).alias("phone"),
         clipped(email, 200).alias("email"),
-        "html",
+        *bodies,
         lenient_int(F.col("replaced")).alias("replaced"),
         lenient_int(F.col("masked")).alias("masked"),
         lenient_int(F.col("imageCount")).alias("image_count"),
@@ -95,16 +110,17 @@ def triage(
     one, so a resubmission of a judged or disqualified entry goes back; ``reset`` reports that.
     """
     before = previous.select(key, F.col("status").alias("_before"))
-    review = (F.coalesce(F.size("suspects"), F.lit(0)) > 0) | any_pii(F.col(body))
+    leaked = F.col("leaked") if "leaked" in entries.columns else any_pii(F.col(body))
+    review = (F.coalesce(F.size("suspects"), F.lit(0)) > 0) | leaked
     return (
-        lookup_join(entries, before, key)
+        lookup_join(entries.withColumn("_review", review), before, key)
         .withColumns(
             {
-                "status": F.when(review, "needs_review").otherwise("received"),
+                "status": F.when(F.col("_review"), "needs_review").otherwise("received"),
                 "reset": F.coalesce(F.col("_before").isin("judged", "disqualified"), F.lit(False)),
             }
         )
-        .drop("_before")
+        .drop("_before", "_review")
     )
 
 

@@ -151,7 +151,7 @@ def p2(t: Tables) -> DataFrame:
     return found.select(
         "event_id",
         F.coalesce("found_in", F.lit("none")).alias("found_in"),
-        F.coalesce(F.col("object.user_id").cast("string"), F.lit("")).alias("user_id"),
+        F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"),
     )
 
 

@@ -12,6 +12,7 @@ from ..operators.submissions import (
     ENTRANT_COLUMNS,
     active_entries,
     assign_refs,
+    body_facts,
     decide_submissions,
     normalise_submissions,
     split_identity,
@@ -73,15 +74,17 @@ def process_submissions(
 ) -> dict[str, DataFrame]:
     """Submissions to stored tables: decide, keep the latest, normalise, number, triage, split.
 
-    The accepted rows are written durably once, because both tables and the numbering read them.
-    ``existing`` (user_id, ref) and ``previous`` (ref, status) are the stored state.
+    ``existing`` (user_id, ref) and ``previous`` (ref, status) are the stored state. All steps work
+    on narrow rows; the bodies meet the final rows in one join by user and time. The narrow rows
+    are written durably once, because the numbering and both tables read them.
     """
-    decided = decide_submissions(subs, rounds, **(decide or {}))
+    decided = decide_submissions(body_facts(subs).drop("html"), rounds, **(decide or {}))
     accepted = decided.where("decision = 'accepted'")
     latest = active_entries(accepted, order=("received_at",))
     normal = durable(normalise_submissions(latest, users))
     numbers = assign_refs(normal.select("user_id"), existing, **(refs or {})).select("user_id", "ref")
-    numbered = normal.join(numbers, "user_id")
-    triaged = triage(numbered, previous)
-    tables = split_identity(triaged.drop("reset"), ENTRANT_COLUMNS)
+    triaged = triage(normal.join(numbers, "user_id"), previous)
+    bodies = subs.select("user_id", F.col("received_at").alias("submitted_at"), "html")
+    complete = triaged.drop("text_chars", "leaked").join(bodies, ["user_id", "submitted_at"])
+    tables = split_identity(complete.drop("reset"), ENTRANT_COLUMNS)
     return {"decided": decided, "triaged": triaged, **tables}
