@@ -24,7 +24,7 @@ from ..operators.state import (
     replay_versions,
     stale_writes,
 )
-from .flows import payment_state
+from .flows import free_subscriptions, payment_state, process_notices
 from .registry import Tables, query
 
 ASOF = "1999-01-01 00:00:00"
@@ -155,6 +155,35 @@ def p2(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "flow_payments",
+    f"""with recursive {DELIVERY_SQL},
+stored as (select o_custkey as u, max(o_orderkey) as provider_ref from orders where o_orderstatus = 'F' group by 1),
+act as (select o_custkey as u, object_id as ref, epoch_us(ts) // 1000 as t,
+               row_number() over (partition by o_custkey order by ts, object_id) as n
+        from delivery join events using (event_id) join orders on o_orderkey = object_id
+        left join stored on u = o_custkey
+        where token = 'agreed' and o_orderstatus = 'F' and provider_ref is distinct from object_id),
+stack as (
+  select u, n, ref, t + 365 * 86400000 as e from act where n = 1
+  union all
+  select a.u, a.n, a.ref, greatest(a.t, s.e) + 365 * 86400000 from stack s join act a on a.u = s.u and a.n = s.n + 1),
+ends as (select u, max(e) as e, arg_max(ref, n) as ref from stack group by u)
+select stored.u as user_id, case when ends.u is null then 'free' else 'active' end as status,
+       cast(coalesce(ref, provider_ref) as varchar) as provider_ref, coalesce(e, 0) as expires_ms
+from stored left join ends on ends.u = stored.u""",
+)
+def flow_payments(t: Tables) -> DataFrame:
+    d = deliveries(t)
+    subs = free_subscriptions(d["stored"].withColumnRenamed("user_id", "id")).drop("provider_ref")
+    subs = subs.join(d["stored"], "user_id").withColumn("provider_ref", F.col("provider_ref").cast("string"))
+    out = process_notices(d["events"], d["payments"], d["invoices"], subs, token="agreed")
+    ends = F.coalesce(F.unix_millis("expires_at"), F.lit(0))
+    return out["subscriptions"].select(
+        "user_id", "status", "provider_ref", ends.alias("expires_ms")
+    )
+
+
 def purchases(t: Tables) -> DataFrame:
     return t.events.where(F.col("event_type") == "purchase").select(
         "event_id", "user_id", F.col("props").alias("ref"), "ts"
