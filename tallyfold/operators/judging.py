@@ -124,7 +124,11 @@ def award_deadlines(cases: DataFrame, rounds: DataFrame, asof: Column | str) ->
     known = lookup_join(cases, rounds.select("round", "closes_on"), "round")
     known = known.withColumns(
         {
-            "correct_by": F.least(F.date_add("notified_on", CORRECTION_DAYS), F.col("closes_on")),
+            # ``least`` skips nulls, but without a notice there is nothing to correct.
+            "correct_by": F.when(
+                F.col("notified_on").isNotNull(),
+                F.least(F.date_add("notified_on", CORRECTION_DAYS), F.col("closes_on")),
+            ),
             "results_by": F.date_add("closes_on", RESULT_DAYS),
             "documents_by": F.date_add("documents_asked_on", DOCUMENT_DAYS),
             "transfer_by": F.date_add("documents_on", TRANSFER_DAYS),
