@@ -30,22 +30,29 @@ from .registry import Tables, query
 ASOF = "1999-01-01 00:00:00"
 
 # Orders with status F are payments of their customer; every customer has an account.
-PAID_SQL = """paid as (
+def paid_sql(until: str = "") -> str:
+    known = f"and o_orderdate <= timestamp '{until}'" if until else ""
+    return f"""paid as (
   select o_custkey as u, o_orderkey as ref, cast(o_orderdate as date) as d,
          row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n
-  from orders where o_orderstatus = 'F')"""
+  from orders where o_orderstatus = 'F' {known})"""
 
-STACK_SQL = f"""{PAID_SQL},
+
+def stack_sql(until: str = "") -> str:
+    return f"""{paid_sql(until)},
 stack as (
   select u, n, ref, cast(d + 365 as date) as e from paid where n = 1
   union all
   select p.u, p.n, p.ref, cast(greatest(p.d, s.e) + 365 as date)
   from stack s join paid p on p.u = s.u and p.n = s.n + 1)"""
 
-ENDS_SQL = f"""{STACK_SQL},
+
+def ends_sql(until: str = "") -> str:
+    return f"""{stack_sql(until)},
 ends as (select u, max(e) as e, max(n) as n, arg_max(ref, n) as ref from stack group by u)"""
 
-ACCESS_SQL = f"""with recursive {ENDS_SQL}
+
+ACCESS_SQL = f"""with recursive {ends_sql(ASOF)}
 select c_custkey as user_id,
        case when e > date '1999-01-01' then 'subscribed'
             when date '1999-01-01' - (date '1998-12-03' + cast(c_custkey % 30 as integer)) < 10 then 'trial'
@@ -53,8 +60,12 @@ select c_custkey as user_id,
 from customer left join ends on u = c_custkey"""
 
 
-def payments_of(orders: DataFrame) -> DataFrame:
-    return orders.where(F.col("o_orderstatus") == "F").select(
+def payments_of(orders: DataFrame, until: str | None = None) -> DataFrame:
+    """Paid orders as payments; with ``until`` only those known at that moment."""
+    paid = orders.where(F.col("o_orderstatus") == "F")
+    if until:
+        paid = paid.where(F.col("o_orderdate") <= F.lit(until).cast("timestamp_ntz"))
+    return paid.select(
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderkey").alias("ref"),
         F.col("o_orderdate").cast("timestamp").alias("paid_at"),
@@ -67,9 +78,9 @@ def accounts_of(customer: DataFrame) -> DataFrame:
 
 
 def access_by_customer(t: Tables) -> DataFrame:
-    """Payments → replay removal → stacked periods → stored subscriptions → access."""
+    """Payments so far → replay removal → stacked periods → stored subscriptions → access."""
     users = accounts_of(t.customer)
-    subs = payment_state(users, payments_of(t.orders))
+    subs = payment_state(users, payments_of(t.orders, ASOF))
     return access_asof(users, subs, ASOF)
 
 
@@ -165,9 +176,9 @@ act as (select o_custkey as u, object_id as ref, epoch_us(ts) // 1000 as t,
         left join stored on u = o_custkey
         where token = 'agreed' and o_orderstatus = 'F' and provider_ref is distinct from object_id),
 stack as (
-  select u, n, ref, t + 365 * 86400000 as e from act where n = 1
+  select u, n, ref, t + 365 * 86400000::bigint as e from act where n = 1
   union all
-  select a.u, a.n, a.ref, greatest(a.t, s.e) + 365 * 86400000 from stack s join act a on a.u = s.u and a.n = s.n + 1),
+  select a.u, a.n, a.ref, greatest(a.t, s.e) + 365 * 86400000::bigint from stack s join act a on a.u = s.u and a.n = s.n + 1),
 ends as (select u, max(e) as e, arg_max(ref, n) as ref from stack group by u)
 select stored.u as user_id, case when ends.u is null then 'free' else 'active' end as status,
        cast(coalesce(ref, provider_ref) as varchar) as provider_ref, coalesce(e, 0) as expires_ms
@@ -213,7 +224,7 @@ def p3_all(t: Tables) -> DataFrame:
 
 @query(
     "e4_stack_periods",
-    f"""with recursive {STACK_SQL}
+    f"""with recursive {stack_sql()}
 select u as user_id, ref, cast(e as varchar) as expires_on from stack""",
 )
 def e4(t: Tables) -> DataFrame:
@@ -224,7 +235,7 @@ def e4(t: Tables) -> DataFrame:
 
 @query(
     "e4_stack_calendar_years",
-    f"""with recursive {PAID_SQL},
+    f"""with recursive {paid_sql()},
 stack as (
   select u, n, ref, cast(d + interval 1 year as date) as e from paid where n = 1
   union all
@@ -240,7 +251,7 @@ def e4_calendar(t: Tables) -> DataFrame:
 
 @query(
     "e4_latest_periods",
-    f"""with recursive {ENDS_SQL}
+    f"""with recursive {ends_sql()}
 select u as user_id, cast(e as varchar) as expires_on from ends""",
 )
 def e4_latest(t: Tables) -> DataFrame:
@@ -306,11 +317,12 @@ def e7(t: Tables) -> DataFrame:
 
 @query(
     "t5_derive_expired",
-    f"""with recursive {ENDS_SQL}
+    f"""with recursive {ends_sql(ASOF)}
 select u as user_id, case when e <= date '1999-01-01' then 'expired' else 'active' end as status from ends""",
 )
 def t5(t: Tables) -> DataFrame:
-    subs = latest_periods(stack_periods(payments_of(t.orders))).withColumn("status", F.lit("active"))
+    ends = latest_periods(stack_periods(payments_of(t.orders, ASOF)))
+    subs = ends.withColumn("status", F.lit("active"))
     return derive_expired(subs, ASOF).select("user_id", "status")
 
 

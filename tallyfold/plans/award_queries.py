@@ -53,15 +53,19 @@ def page_submissions(t: Tables) -> DataFrame:
     )
     return t.pages.select(
         F.col("page_id").alias("user_id"),
-        F.lit("first").alias("round"),
+        F.when(F.col("url").contains("?"), "second").otherwise("first").alias("round"),
         received.alias("received_at"),
         "html",
         stats.alias("stats"),
     )
 
 
-def one_round(t: Tables) -> DataFrame:
-    return t.spark.sql("select 'first' as round, true as open, '2024-01-06 00:00:00' as closes_at")
+def award_rounds(t: Tables) -> DataFrame:
+    closes = "2024-01-06 00:00:00"
+    return t.spark.createDataFrame(
+        [("first", True, closes), ("second", True, closes)],
+        "round string, open boolean, closes_at string",
+    )
 
 
 DECIDE_SQL = rf"""select page_id as user_id, case
@@ -75,7 +79,7 @@ DECIDE_SQL = rf"""select page_id as user_id, case
 
 @query("a1_decide_submissions", DECIDE_SQL)
 def a1(t: Tables) -> DataFrame:
-    decided = decide_submissions(page_submissions(t), one_round(t), max_bytes=8000, min_chars=1200)
+    decided = decide_submissions(page_submissions(t), award_rounds(t), max_bytes=8000, min_chars=1200)
     return decided.select("user_id", "decision")
 
 
@@ -588,7 +592,7 @@ def flow(t: Tables) -> DataFrame:
     )
     none = users.select(F.col("id").alias("user_id"), nothing.alias("ref"), nothing.alias("status")).limit(0)
     out = process_submissions(
-        subs, one_round(t), users, none.select("user_id", "ref"), none.select("ref", "status"),
+        subs, award_rounds(t), users, none.select("user_id", "ref"), none.select("ref", "status"),
         decide={"max_bytes": 8000, "min_chars": 1200},
     )
     back = reidentify(out["entries"], out["entrants"])

@@ -10,8 +10,8 @@ from ..streaming.monitor import session_counts, tumbling_counts
 from ..streaming.payments import activation, drop_redeliveries, subscriptions_after
 from ..streaming.run import drain, drain_batches
 from ..streaming.submissions import decide_stream
-from .account_queries import ENDS_SQL, accounts_of, payments_of
-from .award_queries import DECIDE_SQL, one_round, page_submissions
+from .account_queries import accounts_of, ends_sql, payments_of
+from .award_queries import DECIDE_SQL, award_rounds, page_submissions
 from .flows import free_subscriptions
 from .registry import Tables, query
 
@@ -44,7 +44,7 @@ def t1(t: Tables) -> DataFrame:
 
 @query(
     "t2_stream_activation",
-    f"""with recursive {ENDS_SQL}
+    f"""with recursive {ends_sql()}
 select c_custkey as user_id, coalesce(cast(e as varchar), '') as expires_on, coalesce(cast(ref as varchar), '') as provider_ref,
        case when e is null then 'free' else 'active' end as status
 from customer left join ends on u = c_custkey""",
@@ -66,7 +66,7 @@ def t2(t: Tables) -> DataFrame:
 @query("t3_decide_stream", DECIDE_SQL)
 def t3(t: Tables) -> DataFrame:
     pages = page_submissions(StreamTables(t.spark, t.folder))
-    decided = decide_stream(pages, one_round(t), max_bytes=8000, min_chars=1200)
+    decided = decide_stream(pages, award_rounds(t), max_bytes=8000, min_chars=1200)
     return drain(decided.select("user_id", "decision"))
 
 
