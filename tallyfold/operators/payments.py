@@ -219,10 +219,18 @@ def upsert_latest(
 
 
 def activate(
-    subs: DataFrame, paid: DataFrame, plan: str = "annual", provider: str | None = None, **stack
+    subs: DataFrame,
+    paid: DataFrame,
+    plan: str = "annual",
+    provider: str | None = None,
+    fresh: bool = False,
+    **stack,
 ) -> DataFrame:
-    """Subscriptions after stacking ``paid`` (user_id, ref, paid_at) on their current ends."""
-    stacked = stack_periods(paid, current=subs, **stack)
+    """Subscriptions after stacking ``paid`` (user_id, ref, paid_at) on their current ends.
+
+    ``fresh`` says that ``subs`` are default rows, which have no ends to look up.
+    """
+    stacked = stack_periods(paid, current=None if fresh else subs, **stack)
     changes = stacked.select(
         "user_id",
         F.lit("active").alias("status"),

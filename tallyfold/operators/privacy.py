@@ -17,10 +17,16 @@ def _searched(text: Column, fold_digits: bool) -> Column:
     return folded(text) if fold_digits else text
 
 
+def _occurs(text: Column, pattern: str) -> Column:
+    """Whether the pattern occurs; a text without an @ is not searched for addresses."""
+    found = text.rlike(pattern)
+    return text.contains("@") & found if "@" in pattern else found
+
+
 def any_pii(text: Column, fold_digits: bool = False) -> Column:
     """Whether any pattern occurs anywhere in the text."""
     text = _searched(text, fold_digits)
-    found = reduce(lambda a, b: a | b, [text.rlike(p) for p in PII_PATTERNS.values()])
+    found = reduce(lambda a, b: a | b, [_occurs(text, p) for p in PII_PATTERNS.values()])
     return F.coalesce(found, F.lit(False))
 
 
@@ -32,7 +38,7 @@ def scan_pii(
 ) -> DataFrame:
     """Add ``has_<pattern>`` per pattern and ``has_any``, in one pass over whole texts."""
     text = _searched(F.col(col), fold_digits)
-    flags = {f"has_{n}": F.coalesce(text.rlike(p), F.lit(False)) for n, p in patterns.items()}
+    flags = {f"has_{n}": F.coalesce(_occurs(text, p), F.lit(False)) for n, p in patterns.items()}
     return df.withColumns(flags).withColumn(
         "has_any", reduce(lambda a, b: a | b, [F.col(n) for n in flags])
     )
@@ -44,10 +50,11 @@ def mask_pii(
     """Replace every detail by ``mask`` and count the places in ``masked``."""
     either = "|".join(f"(?:{p})" for p in patterns.values())
     text = F.col(col)
+    found = reduce(lambda a, b: a | b, [_occurs(text, p) for p in patterns.values()])
     return df.withColumns(
         {
-            col: F.regexp_replace(text, either, mask),
-            "masked": F.coalesce(F.regexp_count(text, F.lit(either)), F.lit(0)),
+            col: F.when(found, F.regexp_replace(text, either, mask)).otherwise(text),
+            "masked": F.when(found, F.regexp_count(text, F.lit(either))).otherwise(F.lit(0)),
         }
     )
 

@@ -41,7 +41,7 @@ def payment_state(users: DataFrame, paid: DataFrame, dedupe: str = "last") -> Da
     """Subscriptions after ``paid`` (user_id, ref, paid_at), from default rows."""
     hot = measure(paid, "user_id")
     kept = suppress_replays(paid, mode=dedupe, order=("paid_at", "ref"), hot=hot)
-    return activate(free_subscriptions(users), kept, hot=hot)
+    return activate(free_subscriptions(users), kept, fresh=True, hot=hot)
 
 
 def process_notices(

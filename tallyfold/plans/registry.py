@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import spread, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Tables of long texts, where the work per row is worth spreading over all cores.
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
 
 class Tables:
     """The driver's Parquet tables as attributes."""
@@ -19,7 +22,8 @@ class Tables:
         self.spark, self.folder = tune(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, *TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def query(name: str, sql: str | None = None):
