@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import stored
 
 MAX_HOT = 10_000
 ROWS_PER_TASK = 1_000_000
@@ -163,8 +163,8 @@ class OrderedRows:
     Ordinary keys use one window per key. The rows of hot keys are range-partitioned on
     (keys, order) into slices of bounded size; running values are taken inside each slice, the
     last row of each slice gives its total, and the totals (at most one row per slice and key)
-    carry over. The slices are written durably first, since a recomputed range partitioning may
-    cut elsewhere. ``order`` must be total: a tie would leave the order within a key open.
+    carry over. The slices are stored first, since a recomputed range partitioning may cut
+    elsewhere. ``order`` must be total: a tie would leave the order within a key open.
     """
 
     def __init__(
@@ -193,7 +193,7 @@ class OrderedRows:
     def _sliced(self, df: DataFrame, slices: int) -> DataFrame:
         keys = [F.col(k) for k in self.keys]
         ranged = df.repartitionByRange(slices, *keys, *self.order)
-        return durable(ranged.withColumn("_slice", F.spark_partition_id()))
+        return stored(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> OrderedRows:
         """Apply a row-wise step to all rows."""

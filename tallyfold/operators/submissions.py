@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import lookup_join
 from ..functions.text import clipped, json_number, lenient_int, string_items, strip_space
-from ..session import durable
+from ..session import stored
 from .privacy import any_pii
 
 # Limits of a submission.
@@ -168,21 +168,21 @@ def assign_refs(
     asked = users.select(user).distinct()
     held = existing.select(user, "ref")
     reused = asked.join(held, user).select(user, "ref", F.lit(True).alias("reused"))
-    waiting = durable(asked.join(held.select(user), user, "left_anti"))
+    waiting = stored(asked.join(held.select(user), user, "left_anti"), "waiting")
     left, used = waiting.count(), held.count()
     if left + used > len(alphabet) ** signs:
         raise ValueError(f"{signs} signs cannot number {left + used} users")
     taken, given = held.select("ref"), []
-    for turn in range(rounds):
+    for turn in range(salt, salt + rounds):
         if left == 0:
             break
-        tried = waiting.select(user, candidate_ref(F.col(user), salt + turn, signs, alphabet, prefix).alias("ref"))
-        won = tried.groupBy("ref").agg(F.min(user).alias(user)).join(taken, "ref", "left_anti")
-        won = durable(won.select(user, "ref"))
+        number = candidate_ref(F.col(user), turn, signs, alphabet, prefix).alias("ref")
+        tried = waiting.select(user, number).groupBy("ref").agg(F.min(user).alias(user))
+        won = stored(tried.join(taken, "ref", "left_anti").select(user, "ref"), "numbers")
         given.append(won)
         taken = taken.unionByName(won.select("ref"))
-        waiting = waiting.join(won.select(user), user, "left_anti")
-        left -= won.count()
+        waiting = stored(waiting.join(won.select(user), user, "left_anti"), "waiting")
+        left = waiting.count()
     if left:
         raise ValueError(f"{left} users without a number after {rounds} rounds; use more signs")
     result = reused

@@ -18,7 +18,7 @@ from ..operators.submissions import (
     split_identity,
     triage,
 )
-from ..session import durable
+from ..session import stored
 
 EMPTY_SUBSCRIPTION = {
     "status": lambda: F.lit("free"),
@@ -76,12 +76,12 @@ def process_submissions(
 
     ``existing`` (user_id, ref) and ``previous`` (ref, status) are the stored state. All steps work
     on narrow rows; the bodies meet the final rows in one join by user and time. The narrow rows
-    are written durably once, because the numbering and both tables read them.
+    are stored once, because the numbering and both tables read them.
     """
     decided = decide_submissions(body_facts(subs).drop("html"), rounds, **(decide or {}))
     accepted = decided.where("decision = 'accepted'")
     latest = active_entries(accepted, order=("received_at",))
-    normal = durable(normalise_submissions(latest, users))
+    normal = stored(normalise_submissions(latest, users), "accepted")
     numbers = assign_refs(normal.select("user_id"), existing, **(refs or {})).select("user_id", "ref")
     triaged = triage(normal.join(numbers, "user_id"), previous)
     bodies = subs.select("user_id", F.col("received_at").alias("submitted_at"), "html")

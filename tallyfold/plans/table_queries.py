@@ -18,7 +18,7 @@ from ..sources.export import (
     write_export,
     write_snapshot,
 )
-from ..sources.reconcile import reconcile
+from ..sources.reconcile import export_totals, reconcile
 from ..sources.tables import read_typed
 from .registry import Tables, query
 
@@ -114,6 +114,17 @@ def s4(t: Tables) -> DataFrame:
     return reconcile(t.orders, _exported_orders(t.orders), "o_orderkey")
 
 
+@query(
+    "s4_export_totals",
+    """select count(*) as rows, cast(sum(octet_length(encode(cast(to_json(
+                {'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,
+                 'c_mktsegment': c_mktsegment}) as varchar)))) as bigint) as bytes
+       from customer""",
+)
+def s4_totals(t: Tables) -> DataFrame:
+    return export_totals(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
 @query(
     "s5_write_snapshot",
     """select o_orderstatus, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key,

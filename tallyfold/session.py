@@ -48,14 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder of its own; a cluster without the
     setting is refused, because executors cannot read each other's disks.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyfold-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -64,14 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage, so that later plans all see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: computed once, read by column afterwards."""
+    """``df`` as a table written to the shared folder.
+
+    It is computed once, later plans all see the same rows and read only the columns they need,
+    and a lost executor costs a read, not the work before it.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

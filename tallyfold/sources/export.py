@@ -29,10 +29,13 @@ def read_export(
 def export_pages(df: DataFrame, key: str, size: int = 50) -> DataFrame:
     """Number all rows in key order (``rank`` from 1) and cut them into pages of ``size`` rows.
 
-    The order is global, yet no task sees more than its own range of keys.
+    ``key`` is the primary key. The order is global, yet no task sees more than its own range of
+    keys, and only the keys are sorted; the wide rows join their number afterwards.
     """
-    ranked = OrderedRows(df, [], [F.col(key)], slice_all=True).add(rank=row_number()).rows()
-    return ranked.withColumn("page", F.call_function("div", F.col("rank") - 1, F.lit(size)))
+    keys = df.select(key)
+    ranked = OrderedRows(keys, [], [F.col(key)], slice_all=True).add(rank=row_number()).rows()
+    paged = ranked.withColumn("page", F.call_function("div", F.col("rank") - 1, F.lit(size)))
+    return df.join(paged, key).select(*df.columns, "rank", "page")
 
 
 def export_lines(df: DataFrame, key: str, size: int = 50) -> DataFrame:
