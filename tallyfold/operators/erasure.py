@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join
+from ..functions.skew import Hot, lookup_join, measure
 from ..sources.export import write_snapshot
 
 ERASURE_DAYS = 30
@@ -25,16 +25,28 @@ CHAIN = [
 LEDGER = "subscriptions"
 
 
+def measure_chain(
+    tables: Mapping[str, DataFrame], chain: Sequence[tuple] = CHAIN
+) -> dict[str, Hot]:
+    """The hot keys of each table, measured once for all steps of an erasure."""
+    return {table: measure(tables[table], column) for table, column, *_ in chain}
+
+
 def erased_keys(
-    tables: Mapping[str, DataFrame], requests: DataFrame, chain: Sequence[tuple] = CHAIN
+    tables: Mapping[str, DataFrame],
+    requests: DataFrame,
+    chain: Sequence[tuple] = CHAIN,
+    hot: Mapping[str, Hot] | None = None,
 ) -> dict[str, DataFrame]:
     """For each table of the chain the distinct keys whose rows go."""
+    hot = hot or {}
     gone: dict[str, DataFrame] = {}
     matching = {"requests": requests}
     for table, column, parent, parent_column in chain:
         if parent not in matching:
             link = next(c for t, c, *_ in chain if t == parent)
-            matching[parent] = lookup_join(tables[parent], gone[parent], link, "left_semi")
+            rows = tables[parent]
+            matching[parent] = lookup_join(rows, gone[parent], link, "left_semi", hot.get(parent))
         gone[table] = (
             matching[parent]
             .select(F.col(parent_column).alias(column))
@@ -50,20 +62,21 @@ def erase(
     keep_ledger: bool = False,
     chain: Sequence[tuple] = CHAIN,
     ledger: str = LEDGER,
+    hot: Mapping[str, Hot] | None = None,
 ) -> dict[str, DataFrame]:
     """The tables without the rows of erased users; content goes through its reference number.
 
     ``keep_ledger`` keeps payment records, as the privacy page promises and the handler does not.
     """
-    gone = erased_keys(tables, requests, chain)
+    hot = hot or measure_chain(tables, chain)
+    gone = erased_keys(tables, requests, chain, hot)
     left = {}
     for table, column, *_ in chain:
-        if keep_ledger and table == ledger:
-            left[table] = tables[table]
-        else:
-            left[table] = lookup_join(tables[table], gone[table], column, "left_anti").select(
-                *tables[table].columns
-            )
+        rows = tables[table]
+        if not (keep_ledger and table == ledger):
+            columns = rows.columns
+            rows = lookup_join(rows, gone[table], column, "left_anti", hot[table]).select(*columns)
+        left[table] = rows
     return left
 
 
@@ -103,15 +116,18 @@ def erasure_audit(
     tables: Mapping[str, DataFrame],
     requests: DataFrame,
     chain: Sequence[tuple] = CHAIN,
+    hot: Mapping[str, Hot] | None = None,
 ) -> DataFrame:
     """Rows that still belong to erased users, per table; all zero after a complete erasure.
 
     ``before`` are the tables before the erasure: they tell which reference numbers were erased.
     """
-    gone = erased_keys(before, requests, chain)
+    hot = hot or measure_chain(before, chain)
+    gone = erased_keys(before, requests, chain, hot)
     checks = []
     for table, column, *_ in chain:
-        kept = lookup_join(tables[table].select(column), gone[table], column, "left_semi")
+        keys = tables[table].select(column)
+        kept = lookup_join(keys, gone[table], column, "left_semi", hot[table])
         checks.append(
             kept.agg(F.count(F.lit(1)).alias("residual")).select(
                 F.lit(table).alias("table"), "residual"

@@ -66,7 +66,8 @@ def classify_events(
     The stored reference joins the objects, which are unique by id, before they meet the events.
     """
     stored = subs.select("user_id", F.col("provider_ref").alias("_stored"))
-    objects = lookup_join(billing_objects(payments, invoices), stored, "user_id")
+    hot = measure(payments.select("user_id").unionByName(invoices.select("user_id")), "user_id")
+    objects = lookup_join(billing_objects(payments, invoices), stored, "user_id", hot=hot)
     known = lookup_join(events, objects, "object_id")
     wrong_token = F.lit(False) if not token else ~F.col("secret_token").eqNullSafe(F.lit(token))
     outcome = (

@@ -32,6 +32,7 @@ from ..operators.submissions import (
     split_identity,
     triage,
 )
+from ..session import stored
 from .flows import process_submissions
 from .registry import Tables, query
 
@@ -264,7 +265,7 @@ def a7(t: Tables) -> DataFrame:
 
 
 def conversation_roster(t: Tables) -> DataFrame:
-    """The five most used words of at least five letters per conversation."""
+    """The five most used words of at least five letters per conversation, as a roster table."""
     tokens = t.conversations.select("conv_id", F.explode(words(F.col("text"))).alias("name"))
     used = (
         tokens.where((F.length("name") >= 5) & F.col("name").rlike(r"\p{L}"))
@@ -272,7 +273,8 @@ def conversation_roster(t: Tables) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     best = Window.partitionBy("conv_id").orderBy(F.desc("n"), "name")
-    return used.withColumn("rn", F.row_number().over(best)).where("rn <= 5").select("conv_id", "name")
+    top = used.withColumn("rn", F.row_number().over(best)).where("rn <= 5")
+    return stored(top.select("conv_id", "name"), "roster")
 
 
 ROSTER_SQL = rf"""tok as (select conv_id, unnest(regexp_extract_all(text, '{WORD_RE2}+')) as name from conversations),
@@ -525,7 +527,7 @@ def j6(t: Tables) -> DataFrame:
 @query(
     "j7_eligible_suggestions",
     """with log as (
-  select d.doc_id, sha256(text) as content, case d.doc_id % 3 when 0 then 'app' when 1 then 'mail' else 'chat' end as channel,
+  select d.doc_id, sha256(text) as content, case when lang = 'en' then 'app' when lang = 'fr' then 'mail' else 'chat' end as channel,
          case when quality = 0 then 'bug' else 'idea' end as kind
   from documents d left join labels l on l.doc_id = d.doc_id),
 claim as (select * from log qualify row_number() over (partition by content order by doc_id) = 1),
@@ -535,9 +537,10 @@ select doc_id as id, claim.content, channel from claim left join plan on plan.co
 where (added is null or added >= doc_id) and kind <> 'bug'""",
 )
 def j7(t: Tables) -> DataFrame:
-    hashed = t.documents.select("doc_id", F.sha2("text", 256).alias("content"))
+    hashed = t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("content"))
     log = hashed.join(t.labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
+        "lang",
         "content",
         F.col("doc_id").alias("arrived_at"),
         F.when(F.col("quality") == 0, "bug").otherwise("idea").alias("kind"),
@@ -546,7 +549,9 @@ def j7(t: Tables) -> DataFrame:
         "content", (F.col("doc_id") - F.col("toxic")).alias("added_at")
     )
     channels = {
-        name: log.where(F.col("id") % 3 == n) for n, name in enumerate(["app", "mail", "chat"])
+        "app": log.where("lang = 'en'"),
+        "mail": log.where("lang = 'fr'"),
+        "chat": log.where("lang not in ('en', 'fr')"),
     }
     return eligible_suggestions(channels, roadmap).select("id", "content", "channel")
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import add_business_days, business_days_between, next_business_day
 from ..functions.text import minor_units
-from ..operators.erasure import erase, erasure_audit, erasure_counts, overdue_erasures
+from ..operators.erasure import (
+    erase,
+    erasure_audit,
+    erasure_counts,
+    measure_chain,
+    overdue_erasures,
+)
 from ..operators.refunds import (
     charge_anomalies,
     extend_for_outage,
@@ -321,8 +327,9 @@ def x1_lineitem(t: Tables) -> DataFrame:
 )
 def x2(t: Tables) -> DataFrame:
     tables, requests = erasure_input(t)
-    after = erase(tables, requests, chain=CHAIN)
-    audit = erasure_audit(tables, after, requests, chain=CHAIN)
+    hot = measure_chain(tables, CHAIN)
+    after = erase(tables, requests, chain=CHAIN, hot=hot)
+    audit = erasure_audit(tables, after, requests, chain=CHAIN, hot=hot)
     return audit.withColumnRenamed("table", "table_name")
 
 

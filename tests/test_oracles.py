@@ -23,6 +23,11 @@ def connections():
 ACROSS_SLICES = {"s2_read_export", "s3_export_pages"}
 
 
+SQL_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
+
+
 def check_plan(df, name):
     plan = df._jdf.queryExecution().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
@@ -34,6 +39,8 @@ def check_plan(df, name):
 def compare(spark, con, name, sf):
     df = entry.queries()[name](spark, f"{DATA}/{sf}")
     check_plan(df, name)
+    described = con.execute("describe " + entry.oracle_sql()[name]).fetchall()
+    assert {c: SQL_TYPE[t] for c, t in df.dtypes} == {r[0]: r[1] for r in described}
     left = oracle.spark_rows(df)
     assert oracle.difference(left, oracle.sql_rows(con, entry.oracle_sql()[name])) is None
 

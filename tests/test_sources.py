@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tallyfold.operators.constraints import audit_keys
 from tallyfold.operators.rows import check_writes, lookup, visible_rows
 from tallyfold.schemas import KEYS
+from tallyfold.session import shared_dir
 from tallyfold.sources.export import expired_snapshots, export_pages, read_export, write_export, write_snapshot
 from tallyfold.sources.reconcile import export_totals, reconcile
 from tallyfold.sources.tables import read_tables
@@ -95,3 +96,20 @@ def test_rows(spark):
     split = check_writes(changes, {"insert": "user_id", "update": "user_id"})
     assert [tuple(r) for r in split["accepted"].collect()] == [("insert", "u", "u")]
     assert split["rejected"].count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/tmp"}
+    assert shared_dir(Session()) == "hdfs://shared/tmp"
