@@ -66,6 +66,15 @@ def measure(df: DataFrame, keys, fraction: float = 1.0) -> Hot:
     return Hot(values, held, max(int(limit / fraction), 1))
 
 
+def split(df: DataFrame, keys, hot: Hot) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary keys and those of hot keys (None when there are none)."""
+    keys = _columns(keys)
+    if hot.values is None:
+        return df, None
+    values = hot.values.toDF(*keys)
+    return _without(df, values, keys), _only(df, values, keys)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
@@ -90,14 +99,14 @@ def lookup_join(
     keys = _columns(keys)
     if big.isStreaming:  # a stream-static join; a micro-batch cannot be counted ahead
         return big.join(lookup, keys, how)
-    values = (hot or measure(big, keys)).values
-    if values is None:
-        return big.join(lookup, keys, how)
-    values = values.toDF(*keys)
-    cold = _without(big, values, keys).join(lookup, keys, how)
-    hot_lookup = lookup.join(F.broadcast(values), keys, "left_semi")
-    warm = _only(big, values, keys).join(F.broadcast(hot_lookup), keys, how)
-    return cold.unionByName(warm)
+    hot = hot or measure(big, keys)
+    cold, warm = split(big, keys, hot)
+    if warm is None:
+        return cold.join(lookup, keys, how)
+    hot_lookup = lookup.join(F.broadcast(hot.values.toDF(*keys)), keys, "left_semi")
+    return cold.join(lookup, keys, how).unionByName(
+        warm.join(F.broadcast(hot_lookup), keys, how)
+    )
 
 
 class Running:
@@ -177,18 +186,17 @@ class OrderedRows:
     ):
         self.keys = _columns(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
-        self.light: DataFrame | None = df
+        self.light: DataFrame | None = None
         self.heavy: DataFrame | None = None
         if slice_all:
             cores = df.sparkSession.sparkContext.defaultParallelism
             slices = min(max(df.count() // task_rows(df) + 1, cores), MAX_HOT)
-            self.light, self.heavy = None, self._sliced(df, slices)
+            self.heavy = self._sliced(df, slices)
             return
         hot = hot or measure(df, self.keys)
-        if hot.values is not None:
-            values = hot.values.toDF(*self.keys)
-            self.light = _without(df, values, self.keys)
-            self.heavy = self._sliced(_only(df, values, self.keys), hot.rows // hot.limit + 1)
+        self.light, heavy = split(df, self.keys, hot)
+        if heavy is not None:
+            self.heavy = self._sliced(heavy, hot.rows // hot.limit + 1)
 
     def _sliced(self, df: DataFrame, slices: int) -> DataFrame:
         keys = [F.col(k) for k in self.keys]

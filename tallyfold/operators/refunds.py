@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import add_business_days
-from ..functions.skew import OrderedRows, lookup_join, measure, previous, running_sum
+from ..functions.skew import (
+    Hot,
+    OrderedRows,
+    lookup_join,
+    measure,
+    previous,
+    running_sum,
+    split,
+)
 from ..functions.text import share_half_up
 
 # Fixed values of the refund rules.
@@ -200,25 +208,20 @@ def paid_last_12_months(
     running totals, read off one time line that holds the payments and, for each payment, a marker
     at the lower and at the upper edge of its window; running totals carry from slice to slice.
     """
-    scan = OrderedRows(payments, user, [ts, *order])
-    parts = []
-    if scan.light is not None:
-        # Column windows take only numeric range bounds; SQL has the month interval.
-        parts.append(
-            scan.light.withColumn(
-                "paid_12_months",
-                F.expr(
-                    f"sum(`{amount}`) over (partition by `{user}` order by `{ts}` "
-                    "range between interval '12' month preceding and current row)"
-                ),
-            )
-        )
-    if scan.heavy is not None:
-        parts.append(_paid_by_difference(scan.heavy.drop("_slice"), user, ts, amount, order))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    hot = measure(payments, user)
+    light, heavy = split(payments, user, hot)
+    # Column windows take only numeric range bounds; SQL has the month interval.
+    year = F.expr(
+        f"sum(`{amount}`) over (partition by `{user}` order by `{ts}` "
+        "range between interval '12' month preceding and current row)"
+    )
+    result = light.withColumn("paid_12_months", year)
+    if heavy is None:
+        return result
+    return result.unionByName(_paid_by_difference(heavy, hot, user, ts, amount, order))
 
 
-def _paid_by_difference(payments, user, ts, amount, order) -> DataFrame:
+def _paid_by_difference(payments, hot, user, ts, amount, order) -> DataFrame:
     when, paid = F.col(ts), F.col(amount).cast("long")
     nothing = F.lit(0).cast("long")
     # Before the payments of the lower edge, the payments, after the payments of the upper edge.
@@ -228,8 +231,9 @@ def _paid_by_difference(payments, user, ts, amount, order) -> DataFrame:
         F.struct(when.alias("at"), F.lit(2).alias("kind"), nothing.alias("add")),
     )
     line = payments.withColumn("_p", F.explode(points)).select("*", "_p.*").drop("_p")
-    totals = OrderedRows(line, user, ["at", "kind", ts, *order]).add(_total=running_sum(F.col("add")))
-    edges = totals.rows().where(F.col("kind") != 1)
+    tripled = Hot(hot.values, 3 * hot.rows, hot.limit)
+    totals = OrderedRows(line, user, ["at", "kind", ts, *order], tripled)
+    edges = totals.add(_total=running_sum(F.col("add"))).rows().where(F.col("kind") != 1)
     signed = F.when(F.col("kind") == 0, -F.col("_total")).otherwise(F.col("_total"))
     return edges.groupBy(*payments.columns).agg(F.sum(signed).alias("paid_12_months"))
 
