@@ -17,8 +17,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)
 _UNEVEN = re.compile(f" (?:[{WHITE}]|$)")
 _PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 MAX_CACHED_PIECE = 64
-MAX_CACHED_PIECES = 1_200_000
-SLICE_BYTES = 8_000_000
+MAX_CACHED_PIECES = 800_000
+SLICE_BYTES = 4_000_000
 
 
 def pieces(text: str) -> tuple[str, list[str] | None, list[str] | None]:
@@ -37,7 +37,7 @@ def room(cache: dict) -> dict:
 
 
 def slices(texts: pa.Array) -> Iterator[list[str | None]]:
-    """The texts of an Arrow batch in runs of about 8 MB, so that only a part of it is Python strings at a time."""
+    """The texts of an Arrow batch in runs of about 4 MB, so that only a part of it is Python strings at a time."""
     run, size = [], 0
     for value in texts:
         run.append(value.as_py())

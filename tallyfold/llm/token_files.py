@@ -64,7 +64,7 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             have += more
         selector[widest <= max(s - 1, 0)] = s
     selector = selector[at]
-    take = np.where(selector == ONE, 1, COUNTS[selector])
+    take = np.maximum(COUNTS, 1).astype(np.int16)[selector]
     starts, at, step = [], 0, take.tolist()
     while at < n:
         starts.append(at)
@@ -128,27 +128,60 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         found = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = found[0] if len(found) == 1 else None
+        self.marks = dict(zip(["", ".", ",", "\n"], self._encode(["", ".", ",", "\n"]), strict=True))
         self.words: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Words after a blank; those without other white space in one text, a line each."""
-        plain = [w for w in words if self.line_end is not None and len(w.split()) == 1 and w.split()[0] == w]
-        rest = list(set(words).difference(plain))
+    def _encode_lines(self, lines: list[str]) -> dict[str, bytes]:
+        """Distinct lines without line ends inside, a thousand in one text, cut apart at the id of a line end."""
         out = {}
-        for i in range(0, len(plain), 1000):
-            lines = plain[i : i + 1000]
-            ids = np.frombuffer(self._encode(["\n".join(" " + w for w in lines) + "\n"])[0], "<u4")
+        for i in range(0, len(lines), 1000):
+            run = lines[i : i + 1000]
+            ids = np.frombuffer(self._encode(["\n".join(run) + "\n"])[0], "<u4")
             cuts = np.flatnonzero(ids == self.line_end)
-            if len(cuts) == len(lines):
+            if len(cuts) == len(run):
                 data, cuts = ids.tobytes(), (cuts * 4).tolist()
-                out.update(zip(lines, (data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], cuts)), strict=False))
+                out.update((w, data[a:b]) for w, a, b in zip(run, [0, *(c + 4 for c in cuts)], cuts, strict=False))
             else:
-                rest += lines
-        out.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+                out.update(zip(run, self._encode(run), strict=True))
+        return out
+
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Words after a blank.
+
+        The pattern cuts between a letter and a closing point or comma, and before and after a single line end, so
+        such words are put together from their parts, and only parts that are not known yet are encoded.
+        """
+        cut, rest, stems, heads = {}, [], set(), set()
+        for w in words:
+            stem, close = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
+            if stem.isalpha():
+                cut[w] = (stem, close, None, "")
+                stems.add(stem)
+            elif self.line_end is not None and stem.count("\n") == 1:
+                before, head = stem.split("\n")
+                point = before[-1:] if before[-1:] in (".", ",") else ""
+                first = before[: len(before) - len(point)]
+                if first.isalpha() and head.isalpha():
+                    cut[w] = (first, point, head, close)
+                    stems.add(first)
+                    heads.add(head)
+                else:
+                    rest.append(w)
+            else:
+                rest.append(w)
+        known, lines = self.words, self.heads
+        blank = {k: known[k] for k in stems if k in known}
+        blank |= {k[1:]: v for k, v in self._encode_lines([" " + k for k in stems if k not in blank]).items()}
+        lines.update(self._encode_lines([h for h in heads if h not in lines]))
+        out = dict(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+        for w, (stem, point, head, close) in cut.items():
+            ids = blank[stem] + self.marks[point]
+            out[w] = ids if head is None else ids + self.marks["\n"] + lines[head] + self.marks[close]
         return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
@@ -160,7 +193,8 @@ class WordEncoder:
         for (_, plain, _), ids in zip(cut, known, strict=True):
             if None in ids:
                 missing.update([w for w, i in zip(plain, ids, strict=True) if i is None])
-        own = self._encode_words(list(missing))
+        room(self.heads)
+        own = self._encode_words(missing)
         odd = list({p for first, _, uneven in cut for p in ([first] if uneven is None else uneven)})
         pieces_of = dict(zip(odd, self._encode(odd), strict=True))
         words.update((w, i) for w, i in own.items() if len(w) <= MAX_CACHED_PIECE)
@@ -192,7 +226,7 @@ def write_token_files(
 
     A null or empty text has the end id only. Rows without an id come first; rows with the same id
     stand in the order of their texts' hashes, so repeated rows are all there. Other columns are not read. A shard is one range
-    of ids; each task holds the strings of about 8 MB of text at a time, or of one longer text.
+    of ids; each task holds the strings of about 4 MB of text at a time, or of one longer text.
     """
     path = path or public_tokenizers.path(TOKENIZER_FILE)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
