@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, quality, secrets, token_files, url_filter
+from tallyfold.llm import bpe, grader, language, quality, secrets, token_files, url_filter
 from tallyfold.llm.sql import QUALITY_SQL, URL_SQL
 from tallyfold.session import tune
 
@@ -47,6 +48,14 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure_quality(_table(spark, folder, "documents")).drop("char_distance", "word_distance")
 
 
+@_query("op3_language_id")
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.learn(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 @_query("op4_token_files")
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokenize(_table(spark, folder, "documents"))
@@ -57,6 +66,14 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, folder, "documents"))
 
 
+@_query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    grader_ = grader.learn(docs, labels.select("doc_id", grade.alias("grade")))
+    return grader.grade_documents(docs, grader_)
+
+
 @_query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_table(_table(spark, folder, "documents"))
