@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, grader, language, quality, secrets, token_files, url_filter
+from tallyfold.llm import bpe, decontaminate, grader, language, quality, secrets, token_files, url_filter
 from tallyfold.llm.sql import QUALITY_SQL, URL_SQL
 from tallyfold.session import tune
 
@@ -66,6 +66,11 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, folder, "documents"))
 
 
+@_query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @_query("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
