@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, grader, language, passages, quality, secrets, token_files, url_filter
+from tallyfold.llm import bpe, decontaminate, grader, jaccard, language, passages, quality, secrets, token_files, url_filter
 from tallyfold.llm.sql import QUALITY_SQL, URL_SQL
 from tallyfold.session import tune
 
@@ -71,6 +71,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.remove_repeated(_table(spark, folder, "documents"))
 
 
+@_query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, folder, "documents"), k=3, percent=90)
+
+
 @_query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
