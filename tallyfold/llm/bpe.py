@@ -269,21 +269,21 @@ def encode_table(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            n, ids_hash, text_hash, all_ids = [], [], [], []
+            at = 0
             for texts in slices(batch.column("_text")):
-                for ids in own.encode_many(texts):
-                    n.append(len(ids) // 4)
-                    ids_hash.append(hashlib.sha256(ids).hexdigest())
-                    text_hash.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                    if with_ids:
-                        all_ids.append(ids)
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = [f"_keep_{i}" for i in range(len(keep))] + ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(all_ids, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                ids = own.encode_many(texts)
+                columns = [batch.column(i).slice(at, len(texts)) for i in range(len(keep))]
+                columns += [
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(i)).hexdigest() for i in ids], pa.string()),
+                ]
+                names = [f"_keep_{i}" for i in range(len(keep))] + ["n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
+                    names.append("ids")
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     encoded = kept.mapInArrow(run, ", ".join(kinds + added))
     return encoded.withColumnsRenamed({f"_keep_{i}": c for i, c in enumerate(keep)})

@@ -19,6 +19,7 @@ Equal sets are one class throughout; of pairs in one component no more than one
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,8 @@ class Slices:
         self.bounds = [1]
 
     def _grow(self, size: int) -> None:
-        while self.bounds[-1] <= size or len(self.bounds) < 2:
+        """Bounds of the classes up to the second after that of ``size``."""
+        while len(self.bounds) < 4 or self.bounds[-3] <= size:
             b = self.bounds[-1]
             self.bounds.append(max(b + 1, -(-b * 100 // self.percent)))
 
@@ -80,8 +82,7 @@ class Slices:
         if not size:
             return np.zeros(0, np.int64)
         self._grow(size)
-        self._grow(self.bounds[-1])
-        own = int(np.searchsorted(self.bounds, size, "right")) - 1
+        own = bisect_right(self.bounds, size) - 1
         out = []
         for scheme in (own, own + 1):
             # Linked sets of sizes below the class's end differ in this many shingles at most.

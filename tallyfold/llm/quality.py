@@ -164,3 +164,9 @@ def measure_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
         F.col("_char_distance").alias("char_distance"),
         F.col("_word_distance").alias("word_distance"),
     )
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"))
+    return measure_quality(rows, keep=("_row",)).where("kept").select("_row.*")

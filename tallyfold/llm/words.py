@@ -6,9 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters between words are blank and U+0009 to U+000D.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ASCII_LOWER = str.maketrans(UPPER, LOWER)
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def words_of(text: Column) -> Column:
@@ -21,9 +18,11 @@ def split_words(text: str | None) -> list[str]:
     """The same in Python. ``str.split()`` would also cut at other white space."""
     if not text:
         return []
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    for gap in "\t\n\x0b\x0c\r":
+        text = text.replace(gap, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def lower_ascii(text: str) -> str:
     """A-Z in lower case, everything else unchanged."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
