@@ -15,7 +15,7 @@ class Bits:
     """A bit array with rank."""
 
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros(-(-len(bits) // 64 + 1) * 64 + 64, np.uint8)
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
         counts = np.bitwise_count(self.words).astype(np.int32)
