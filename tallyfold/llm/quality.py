@@ -160,7 +160,8 @@ def measure_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.col("_n_repeat_words").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & ~far).alias("kept"),
+        # The always true last part keeps a filter on the verdict from being computed anew below this projection.
+        (~failed & ~far & (F.monotonically_increasing_id() >= 0)).alias("kept"),
         F.col("_char_distance").alias("char_distance"),
         F.col("_word_distance").alias("word_distance"),
     )
