@@ -25,18 +25,22 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether each node has one link to a smaller node, or is such a smaller node, and not both."""
+    down = links.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("top"))
+    ends = down.unionByName(links.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("top")))
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("top").alias("top"))
+    return nodes.where("out > 1 or out = 1 and top = 1").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (the smallest node reachable) of every node that a link to another touches; ids are integers.
 
     Links may repeat and have either direction; links to oneself and with a null end are ignored. No links give no rows.
     """
     now = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now, before = stored(now.distinct(), "links"), None
-    while True:
+    now = stored(_small(now), "links")
+    while not _is_forest_of_stars(now):
         now = stored(_small(_large(now)), "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
