@@ -4,7 +4,7 @@ Jaccard distance is a metric, so distances to a pivot bound distances between do
 distances are near 1 and no pivot tells them apart. The join therefore works in two steps.
 
 First cells. The shingle universe is cut by hash into more slices than two linked sets can differ in shingles, so linked sets agree
-in one slice at least. Documents with the same content in a slice are in one cell, a ball of radius 0 around it in the distance of that
+in one slice at least, and a set with shingles in enough slices agrees in one that is not empty. Documents with the same content in a slice are in one cell, a ball of radius 0 around it in the distance of that
 slice. Each cell ties its documents to its smallest one, and connected cells make a cluster. Slices depend on the size class,
 and each document enters the slices of its own class and the next one, because linked sets are at most one class apart.
 
@@ -87,11 +87,16 @@ class Slices:
         for scheme in (own, own + 1):
             # Linked sets of sizes below the class's end differ in this many shingles at most.
             differ = 2 * (self.bounds[scheme + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            n = differ + 1
+            n = differ + differ * 3 // 10 + 2
             sums = np.zeros(n, np.uint64)
-            np.add.at(sums, (shingles % np.uint64(n)).astype(np.int64), _mixed(shingles))
+            slice_of = (shingles % np.uint64(n)).astype(np.int64)
+            np.add.at(sums, slice_of, _mixed(shingles))
             which = np.arange(n, dtype=np.uint64) + np.uint64(scheme << 32)
-            out.append(_mixed(sums ^ _mixed(which * ODD + np.uint64(1))))
+            cells = _mixed(sums ^ _mixed(which * ODD + np.uint64(1)))
+            # With more slices in use than can differ, one of those in use agrees, and empty ones, which unrelated
+            # sets share, need no cell.
+            used = np.bincount(slice_of, minlength=n) > 0
+            out.append(cells[used] if used.sum() > differ else cells)
         return np.concatenate(out).view(np.int64)
 
 
