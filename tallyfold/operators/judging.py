@@ -94,15 +94,20 @@ def disqualify(
     blocklist: DataFrame,
     asof: Column,
     key: str = "contact",
+    closes: Column | None = None,
+    copied: DataFrame | None = None,
 ) -> DataFrame:
     """Entries to disqualify (``user_id``, ``ref``) with their ``reasons``.
 
     ``accounts``: user_id and contact key; ``notices``: ref, notified_at, corrected_at; ``blocklist``:
-    user_id and reason (false identity, staff, relative).
+    user_id and reason (false identity, staff, relative); ``copied``: ref of entries found to be copied work.
+    Details are to be corrected within seven days and before the round ``closes``.
     """
     same = lookup_join(accounts, shared_contacts(accounts, key), key, "left_semi")
     several = same.select("user_id").distinct().withColumn("_several", F.lit("several accounts"))
     deadline = F.date_add(F.col("notified_at").cast("date"), CORRECTION_DAYS)
+    if closes is not None:
+        deadline = F.least(deadline, closes.cast("date"))
     end = F.coalesce(F.col("corrected_at").cast("date"), F.lit(asof).cast("date"))
     late = notices.where(end > deadline).select("ref").distinct()
     late = late.withColumn("_late", F.lit("details not corrected"))
@@ -110,7 +115,11 @@ def disqualify(
     # Entries are unique per user and reference, so these joins cannot be skewed.
     judged = entries.select("user_id", "ref").join(several, "user_id", "left")
     judged = judged.join(blocked, "user_id", "left").join(late, "ref", "left")
-    reasons = F.array_compact(F.array("_several", "_late", "_blocked"))
+    found = ["_several", "_late", "_blocked"]
+    if copied is not None:
+        works = copied.select("ref").distinct().withColumn("_copied", F.lit("copied work"))
+        judged, found = judged.join(works, "ref", "left"), [*found, "_copied"]
+    reasons = F.array_compact(F.array(*found))
     return judged.select("user_id", "ref", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 

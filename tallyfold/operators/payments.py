@@ -21,8 +21,9 @@ from ..functions.skew import (
 
 DAY_MILLIS = 86_400_000
 YEAR_DAYS = 365
-# The last moment a web client can represent; later ends are left null.
+# The last moment a web client can represent; a payment that would end later fails and changes nothing.
 LAST_MILLIS = 8_640_000_000_000_000
+LAST_YEAR = 275_760
 
 
 def _present(text: Column) -> Column:
@@ -62,7 +63,7 @@ def classify_events(
     """Add ``found_in``, ``status``, ``user_id`` and ``outcome``; the first failing test decides.
 
     bad_token, no_id, unverifiable, not_paid, no_user, already, activated. ``already`` compares
-    with the reference stored before this batch; repeats inside a batch are ``suppress_replays``.
+    with the reference stored before this batch; ``mark_replays`` decides it for notices in a row.
     The stored reference joins the objects, which are unique by id, before they meet the events.
     """
     stored = subs.select("user_id", F.col("provider_ref").alias("_stored"))
@@ -106,6 +107,28 @@ def suppress_replays(
         return kept.join(seen, [user, ref], "left_anti").select(*events.columns)
     if mode != "last":
         raise ValueError(f"unknown mode {mode!r}")
+    marked = mark_replays(events, mode, user, ref, order, stored, hot)
+    return marked.where(~F.col("repeated")).drop("repeated")
+
+
+def mark_replays(
+    events: DataFrame,
+    mode: str = "last",
+    user: str = "user_id",
+    ref: str = "ref",
+    order: Sequence[str] = ("received_at", "ref"),
+    stored: DataFrame | None = None,
+    hot: Hot | None = None,
+) -> DataFrame:
+    """Add ``repeated``: whether ``suppress_replays`` drops the row."""
+    if mode == "all":
+        rows = OrderedRows(events, [user, ref], order).add(_n=row_number()).rows()
+        repeated = F.col("_n") > 1
+        if stored is not None:
+            known = stored.select(user, F.col("provider_ref").alias(ref), F.lit(True).alias("_known"))
+            rows = lookup_join(rows, known.where(F.col(ref).isNotNull()), [user, ref])
+            repeated = repeated | F.col("_known").isNotNull()
+        return rows.select(*events.columns, repeated.alias("repeated"))
     hot = hot or measure(events, user)
     running = {"_before": previous(F.col(ref)), "_n": row_number()}
     rows = OrderedRows(events, user, order, hot).add(**running).rows()
@@ -114,7 +137,7 @@ def suppress_replays(
         known = stored.select(user, F.col("provider_ref").alias("_stored"))
         rows = lookup_join(rows, known, user, hot=hot)
         before = F.when(F.col("_n") == 1, F.col("_stored")).otherwise(before)
-    return rows.where(~before.eqNullSafe(F.col(ref))).select(*events.columns)
+    return rows.select(*events.columns, before.eqNullSafe(F.col(ref)).alias("repeated"))
 
 
 def stack_periods(
@@ -132,7 +155,9 @@ def stack_periods(
     The fold ``end = max(t, end) + p`` has a closed form over the running sum S of periods:
     ``end_n = max over i <= n of (t_i - S_(i-1)) + S_n``, so it needs a running sum and a running
     maximum only. ``year='calendar'`` adds whole Gregorian years instead; ``t + 1 year`` is never
-    29 February, so it can be moved by whole years without loss and the same form applies.
+    29 February, so it can be moved by whole years without loss and the same form applies to year numbers.
+    ``expires_at`` is null where the end is past ``LAST_MILLIS``: such a payment has failed, and so have the later ones of
+    its user, as periods of one length only move the end on. ``activate`` and ``latest_periods`` leave them out.
     ``current`` (``user``, ``expires_at``) are the ends before these payments.
     """
     scan_order = [ts, *order]
@@ -171,28 +196,36 @@ def _as_moment() -> Column:
 
 
 def _stack_calendar_years(paid, user, ts, order, kept, hot) -> DataFrame:
-    def years(n: Column) -> Column:
-        return F.make_ym_interval(n.cast("int"))
-
     start = F.greatest(F.col(ts).cast("timestamp"), F.col("_current"))
+    first = start + F.make_ym_interval(F.lit(1))
+    lead = F.struct(
+        (F.year(first) - (F.col("_n") - 1)).alias("year"),
+        F.month(first).alias("month"),
+        F.day(first).alias("day"),
+        (F.unix_micros(first) - F.unix_micros(F.date_trunc("day", first))).alias("micros"),
+    )
     rows = (
         OrderedRows(paid, user, order, hot)
         .add(_n=row_number())
-        .map(
-            lambda df: df.withColumn("_lead", (start + years(F.lit(1))) - years(F.col("_n") - 1))
-        )
+        .map(lambda df: df.withColumn("_lead", lead))
         .add(_peak=running_max(F.col("_lead")))
         .rows()
     )
-    ends = F.col("_peak") + years(F.col("_n") - 1)
-    return rows.withColumn("expires_at", ends).select(
-        *kept, F.unix_millis("expires_at").alias("expires_ms"), "expires_at"
+    # The year after the last one is past LAST_MILLIS and still a timestamp.
+    year = F.least(F.col("_peak.year") + F.col("_n") - 1, F.lit(LAST_YEAR + 1)).cast("int")
+    zero = F.lit(0)
+    midnight = F.make_timestamp(year, F.col("_peak.month"), F.col("_peak.day"), zero, zero, zero)
+    ends = F.timestamp_micros(F.unix_micros(midnight) + F.col("_peak.micros"))
+    return rows.withColumn("_end", ends).select(
+        *kept,
+        F.unix_millis("_end").alias("expires_ms"),
+        F.when(F.unix_millis("_end") <= LAST_MILLIS, F.col("_end")).alias("expires_at"),
     )
 
 
 def latest_periods(stacked: DataFrame, user: str = "user_id") -> DataFrame:
-    """The end of each user's subscription; ends only ever grow, so the last is the largest."""
-    return stacked.groupBy(user).agg(
+    """The end of each user's subscription; ends only ever grow, so the last is the largest that did not fail."""
+    return stacked.where(F.col("expires_at").isNotNull()).groupBy(user).agg(
         F.max("expires_ms").alias("expires_ms"), F.max("expires_at").alias("expires_at")
     )
 
@@ -232,7 +265,7 @@ def activate(
     ``fresh`` says that ``subs`` are default rows, which have no ends to look up.
     """
     stacked = stack_periods(paid, current=None if fresh else subs, **stack)
-    changes = stacked.select(
+    changes = stacked.where(F.col("expires_at").isNotNull()).select(
         "user_id",
         F.lit("active").alias("status"),
         F.lit(plan).alias("plan"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import SAMPLE, OrderedRows, lookup_join, measure, row_number
-from ..functions.text import GAP, PII_PATTERNS, WORD, let, words
+from ..functions.text import GAP, LINEAR_FIND, LINEAR_TEST, PII_PATTERNS, WORD, let, words
 from ..functions.text import fold_digits as folded
 
 
@@ -19,7 +19,7 @@ def _searched(text: Column, fold_digits: bool) -> Column:
 
 def _occurs(text: Column, pattern: str) -> Column:
     """Whether the pattern occurs; a text without an @ is not searched for addresses."""
-    found = text.rlike(pattern)
+    found = text.rlike(LINEAR_TEST.get(pattern, pattern))
     return text.contains("@") & found if "@" in pattern else found
 
 
@@ -48,7 +48,7 @@ def mask_pii(
     df: DataFrame, col: str, patterns: Mapping[str, str] = PII_PATTERNS, mask: str = "***"
 ) -> DataFrame:
     """Replace every detail by ``mask`` and count the places in ``masked``."""
-    either = "|".join(f"(?:{p})" for p in patterns.values())
+    either = "|".join(f"(?:{LINEAR_FIND.get(p, p)})" for p in patterns.values())
     text = F.col(col)
     found = reduce(lambda a, b: a | b, [_occurs(text, p) for p in patterns.values()])
     return df.withColumns(
@@ -71,8 +71,8 @@ def _literal(text: Column) -> Column:
     return F.regexp_replace(text, r"([^\p{L}\p{M}\p{N}])", r"\\$1")
 
 
-def _phrases(text: Column, longest: int) -> Column:
-    """Distinct runs of 1 to ``longest`` consecutive words, with what stands between them."""
+def _phrases(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct runs of these numbers of consecutive words, with what stands between them."""
     from_first = F.regexp_replace(text, f"^{GAP}", "")
     nothing = F.array().cast("array<string>")
 
@@ -87,9 +87,7 @@ def _phrases(text: Column, longest: int) -> Column:
 
     return let(
         F.regexp_extract_all(from_first, F.lit(f"({WORD}+|{GAP})"), F.lit(1)),
-        lambda pieces: F.array_distinct(
-            F.flatten(F.array(*[runs(pieces, n) for n in range(1, longest + 1)]))
-        ),
+        lambda pieces: F.array_distinct(F.flatten(F.array(*[runs(pieces, n) for n in sizes]))),
     )
 
 
@@ -129,19 +127,23 @@ def pseudonymise(
     key: Sequence[str],
     body: str = "text",
     name: str = "name",
-    longest: int = 3,
+    longest: int | None = None,
     code: str = _CODE,
 ) -> dict[str, DataFrame]:
     """Replace roster names by numbered codes; returns ``docs`` (with ``replaced``) and ``map``.
 
     The distinct phrases of each document meet its owner's roster in one equality join, so only
-    names that really occur travel back to the document. Names of up to ``longest`` words count;
-    longer names are tried first, and a name inside another word is left alone.
+    names that really occur travel back to the document. Names of any number of words count, or of up to
+    ``longest`` words where it is given, with the separators they have in the roster, so that ``restore`` gives the very
+    text back. Longer names are tried first, and a name inside another word is left alone. The driver learns the
+    distinct numbers of words in names, a few integers.
     """
     codes = roster_codes(roster, docs, owner, name, body, code)
+    counts = codes.select(F.size(words(F.col("name"))).alias("n")).distinct().collect() if longest is None else ()
+    sizes = range(1, longest + 1) if longest is not None else sorted(r.n for r in counts) or [1]
 
     def phrases(df: DataFrame) -> DataFrame:
-        return df.select(*key, owner, F.explode(_phrases(F.col(body), longest)).alias("name"))
+        return df.select(*key, owner, F.explode(_phrases(F.col(body), sizes)).alias("name"))
 
     pair = [owner, "name"]
     hot = measure(phrases(docs.sample(SAMPLE, seed=7)), pair, SAMPLE)

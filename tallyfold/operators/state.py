@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.latest import latest_rows
 from ..functions.skew import OrderedRows, lookup_join, measure, previous, row_number
 
 
@@ -22,21 +23,19 @@ def latest_documents(
 ) -> DataFrame:
     """The stored row after all writes: last body, version, first and last write time.
 
-    The last write always wins; no version is ever refused. The winning write is chosen on its
-    order columns and only then are the (wide) bodies touched.
+    The last write always wins; no version is ever refused. Writes without a time come first, and of
+    writes at one instant one wins (``latest_rows``).
     """
     stamp = order[0]
-    summary = changes.groupBy(key).agg(
-        F.count(F.lit(1)).alias("version"),
-        F.max(F.struct(*order)).alias("_last"),
-        F.min(stamp).alias("created_at"),
-        F.max(stamp).alias("updated_at"),
-    )
-    winners = summary.select("*", "_last.*").drop("_last")
-    bodies = changes.select(key, *order, F.col(body))
-    return winners.join(bodies, [key, *order]).select(
-        key, body, "version", "created_at", "updated_at"
+    last = latest_rows(
+        changes.select(key, *order, body),
+        key,
+        order,
+        version=F.count(F.lit(1)),
+        created_at=F.min(stamp),
+        updated_at=F.max(stamp),
     )
+    return last.select(key, body, "version", "created_at", "updated_at")
 
 
 def bootstrap_rows(

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.latest import latest_rows
 from ..functions.skew import lookup_join
 from ..functions.text import clipped, json_number, lenient_int, string_items, strip_space
 from ..session import stored
@@ -21,6 +22,8 @@ MIN_STATS = {"evidence": 5, "students": 1, "workPairs": 1}
 # Signs of a reference number, none of which is easily mistaken for another.
 ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 REF_SIGNS = 6
+# Tells the deliveries of one user apart where their times do not.
+DELIVERY = "_delivery"
 
 
 def body_facts(subs: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def normalise_submissions(subs: DataFrame, users: DataFrame) -> DataFrame:
     """Accepted submissions in stored form: cut texts, lenient integers, string-only suspects."""
     accounts = users.select(F.col("id").alias("user_id"), F.col("email").alias("_email"))
     known = lookup_join(subs, accounts, "user_id")
-    bodies = [c for c in ("html", "text_chars", "leaked") if c in subs.columns]
+    bodies = [c for c in ("html", "text_chars", "leaked", DELIVERY) if c in subs.columns]
     teacher = F.col("teacher")
     email = F.coalesce(F.nullif(teacher["email"], F.lit("")), F.col("_email"))
     return known.select(
@@ -214,14 +217,8 @@ def reidentify(entries: DataFrame, entrants: DataFrame, ref: str = "ref") -> Dat
 def active_entries(
     subs: DataFrame, user: str = "user_id", order: Sequence[str] = ("submitted_at",)
 ) -> DataFrame:
-    """The latest submission of each user.
-
-    The winner is found on the narrow order columns with map-side aggregation, then the wide rows
-    are filtered; a user with very many submissions is never gathered.
-    """
-    last = subs.groupBy(user).agg(F.max(F.struct(*order)).alias("_last"))
-    winners = last.select(user, "_last.*")
-    return subs.join(winners, [user, *order], "left_semi").select(*subs.columns)
+    """The latest submission of each user, exactly one also where times tie or are null (``latest_rows``)."""
+    return latest_rows(subs, user, order)
 
 
 def entry_summary(entries: DataFrame) -> DataFrame:

@@ -173,16 +173,16 @@ stored as (select o_custkey as u, max(o_orderkey) as provider_ref from orders wh
 act as (select o_custkey as u, object_id as ref, epoch_us(ts) // 1000 as t,
                row_number() over (partition by o_custkey order by ts, object_id) as n
         from delivery join events using (event_id) join orders on o_orderkey = object_id
-        left join stored on u = o_custkey
-        where token = 'agreed' and o_orderstatus = 'F' and provider_ref is distinct from object_id),
+        where token = 'agreed' and o_orderstatus = 'F'),
 stack as (
-  select u, n, ref, t + 365 * 86400000::bigint as e from act where n = 1
+  select u, 0::bigint as n, provider_ref as ref, 0::bigint as e from stored
   union all
-  select a.u, a.n, a.ref, greatest(a.t, s.e) + 365 * 86400000::bigint from stack s join act a on a.u = s.u and a.n = s.n + 1),
+  select a.u, a.n, a.ref, case when a.ref = s.ref then s.e else greatest(a.t, s.e) + 365 * 86400000::bigint end
+  from stack s join act a on a.u = s.u and a.n = s.n + 1),
 ends as (select u, max(e) as e, arg_max(ref, n) as ref from stack group by u)
-select stored.u as user_id, case when ends.u is null then 'free' else 'active' end as status,
-       cast(coalesce(ref, provider_ref) as varchar) as provider_ref, coalesce(e, 0) as expires_ms
-from stored left join ends on ends.u = stored.u""",
+select u as user_id, case when e = 0 then 'free' else 'active' end as status,
+       cast(ref as varchar) as provider_ref, e as expires_ms
+from ends""",
 )
 def flow_payments(t: Tables) -> DataFrame:
     d = deliveries(t)

@@ -28,7 +28,6 @@ from ..operators.submissions import (
     entry_summary,
     normalise_submissions,
     reidentify,
-    signs_for,
     split_identity,
     triage,
 )
@@ -197,7 +196,7 @@ _SIGNS = " || ".join(
 
 def _refs_sql(turns: int = 4) -> str:
     parts = [
-        "with need as (select greatest(1, cast(ceil(ln(count(*) * 16) / ln(32) - 1e-12) as integer)) as signs from documents)",
+        "with need as (select 6 as signs)",
         "held as (select doc_id as user_id, 'EARLIER-' || doc_id as ref from labels)",
         "w0 as (select doc_id as user_id from documents where doc_id not in (select user_id from held))",
     ]
@@ -224,7 +223,7 @@ def a5(t: Tables) -> DataFrame:
     earlier = t.labels.select(
         F.col("doc_id").alias("user_id"), F.concat(F.lit("EARLIER-"), F.col("doc_id")).alias("ref")
     )
-    return assign_refs(users, earlier, signs=signs_for(users.count()))
+    return assign_refs(users, earlier)
 
 
 def document_submissions(t: Tables) -> DataFrame:

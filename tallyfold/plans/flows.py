@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.latest import row_hash
 from ..functions.skew import measure
-from ..operators.payments import activate, classify_events, suppress_replays
+from ..operators.payments import activate, classify_events, mark_replays, suppress_replays
 from ..operators.state import bootstrap_rows
 from ..operators.submissions import (
+    DELIVERY,
     ENTRANT_COLUMNS,
     active_entries,
     assign_refs,
@@ -52,14 +54,24 @@ def process_notices(
     token: str | None = None,
     dedupe: str = "last",
 ) -> dict[str, DataFrame]:
-    """Notices to new subscriptions: resolve, classify, drop replays, stack periods, upsert."""
-    outcomes = classify_events(events, payments, invoices, subs, token)
-    paid = outcomes.where("outcome = 'activated'").select(
+    """Notices to new subscriptions: resolve, classify, drop replays, stack periods, upsert.
+
+    Whether a paid notice is ``already`` known depends on the notice before it, in this batch or stored, so any split
+    into batches gives the same subscriptions.
+    """
+    classified = classify_events(events, payments, invoices, subs, token)
+    is_paid = F.col("outcome").isin("activated", "already")
+    paid = classified.where(is_paid)
+    kind = paid.schema["object_id"].dataType
+    stored = subs.select("user_id", F.col("provider_ref").cast(kind).alias("provider_ref"))
+    hot = measure(paid, "user_id")
+    order = ("received_at", "object_id")
+    marked = mark_replays(paid, dedupe, ref="object_id", order=order, stored=stored, hot=hot)
+    decided = marked.withColumn("outcome", F.when(F.col("repeated"), "already").otherwise("activated"))
+    kept = marked.where(~F.col("repeated")).select(
         "user_id", F.col("object_id").alias("ref"), F.col("received_at").alias("paid_at")
     )
-    stored = subs.select("user_id", F.col("provider_ref").cast(paid.schema["ref"].dataType).alias("provider_ref"))
-    hot = measure(paid, "user_id")
-    kept = suppress_replays(paid, dedupe, order=("paid_at", "ref"), stored=stored, hot=hot)
+    outcomes = classified.where(~is_paid).unionByName(decided.drop("repeated"))
     return {"outcomes": outcomes, "subscriptions": activate(subs, kept, hot=hot)}
 
 
@@ -75,16 +87,18 @@ def process_submissions(
     """Submissions to stored tables: decide, keep the latest, normalise, number, triage, split.
 
     ``existing`` (user_id, ref) and ``previous`` (ref, status) are the stored state. All steps work
-    on narrow rows; the bodies meet the final rows in one join by user and time. The narrow rows
+    on narrow rows; the bodies meet the final rows in one join by user and delivery. The narrow rows
     are stored once, because the numbering and both tables read them.
     """
+    subs = subs.withColumn(DELIVERY, row_hash(subs))
     decided = decide_submissions(body_facts(subs).drop("html"), rounds, **(decide or {}))
     accepted = decided.where("decision = 'accepted'")
-    latest = active_entries(accepted, order=("received_at",))
+    latest = active_entries(accepted, order=("received_at", DELIVERY))
     normal = stored(normalise_submissions(latest, users), "accepted")
     numbers = assign_refs(normal.select("user_id"), existing, **(refs or {})).select("user_id", "ref")
     triaged = triage(normal.join(numbers, "user_id"), previous)
-    bodies = subs.select("user_id", F.col("received_at").alias("submitted_at"), "html")
-    complete = triaged.drop("text_chars", "leaked").join(bodies, ["user_id", "submitted_at"])
-    tables = split_identity(complete.drop("reset"), ENTRANT_COLUMNS)
-    return {"decided": decided, "triaged": triaged, **tables}
+    bodies = subs.select("user_id", DELIVERY, "html")
+    complete = triaged.drop("text_chars", "leaked").join(bodies, ["user_id", DELIVERY])
+    complete = complete.dropDuplicates(["user_id"])  # the same delivery twice
+    tables = split_identity(complete.drop("reset", DELIVERY), ENTRANT_COLUMNS)
+    return {"decided": decided.drop(DELIVERY), "triaged": triaged.drop(DELIVERY), **tables}
