@@ -26,10 +26,13 @@ from tallyfold.session import scratch_path
 TOKENIZER_FILE = "byte_bpe_50k.json"
 BLOCK = 128
 RUN_WORDS = 500_000
+ENCODED_AT_ONCE = 1000
 # Ids in a word and bits of each, by selector; 0 and 1 pack runs of zeros without payload.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 0])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ONE, ESCAPE = 15, 0xF << 60
+# Fixed value: how the vocabulary file writes a blank.
+BLANK = "\u0120"
 # Selector 15 with a payload of 60 zero bits is the escape; one id of up to 59 bits has a one in bit 59.
 MARK = 1 << 59
 
@@ -129,18 +132,38 @@ class WordEncoder:
         found = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = found[0] if len(found) == 1 else None
         self.marks = dict(zip(["", ".", ",", "\n"], self._encode(["", ".", ",", "\n"]), strict=True))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
         self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
+        out = []
+        for i in range(0, len(parts), ENCODED_AT_ONCE):  # the library's results are many times larger than their ids
+            found = self.tokenizer.encode_batch_fast(parts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)
+            out += [np.array(f.ids, "<u4").tobytes() for f in found]
+        return out
+
+    def _encode_after_blank(self, words: list[str]) -> dict[str, bytes]:
+        """Distinct words, each after a blank, a thousand in one text, cut apart where a token begins with a blank."""
+        out = {}
+        for i in range(0, len(words), ENCODED_AT_ONCE):
+            run = words[i : i + ENCODED_AT_ONCE]
+            ids = np.frombuffer(self._encode([" " + " ".join(run)])[0], "<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(run):
+                data, cuts = ids.tobytes(), (cuts * 4).tolist()
+                out.update((w, data[a:b]) for w, a, b in zip(run, cuts, [*cuts[1:], len(data)], strict=True))
+            else:
+                out.update(zip(run, self._encode([" " + w for w in run]), strict=True))
+        return out
 
     def _encode_lines(self, lines: list[str]) -> dict[str, bytes]:
         """Distinct lines without line ends inside, a thousand in one text, cut apart at the id of a line end."""
         out = {}
-        for i in range(0, len(lines), 1000):
-            run = lines[i : i + 1000]
+        for i in range(0, len(lines), ENCODED_AT_ONCE):
+            run = lines[i : i + ENCODED_AT_ONCE]
             ids = np.frombuffer(self._encode(["\n".join(run) + "\n"])[0], "<u4")
             cuts = np.flatnonzero(ids == self.line_end)
             if len(cuts) == len(run):
@@ -178,7 +201,7 @@ class WordEncoder:
         blank = {k: known[k] for k in stems if k in known}
         blank |= {k[1:]: v for k, v in self._encode_lines([" " + k for k in stems if k not in blank]).items()}
         lines.update(self._encode_lines([h for h in heads if h not in lines]))
-        out = dict(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+        out = self._encode_after_blank(rest)
         for w, (stem, point, head, close) in cut.items():
             ids = blank[stem] + self.marks[point]
             out[w] = ids if head is None else ids + self.marks["\n"] + lines[head] + self.marks[close]
