@@ -162,6 +162,10 @@ def _repeated(anchored: DataFrame) -> DataFrame:
             columns = [batch.column(k).to_numpy() for k in keys]
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            # Repeated rows of one document give the very same rows, which count once.
+            new = np.ones(len(columns[0]), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            columns = [c[new] for c in columns]
             yield from passed(columns, before, False)
             if len(columns[0]) > 1:
                 before = columns[0][-2], columns[1][-2]
@@ -227,13 +231,15 @@ def _searched(worded: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
-        current = None
+        current, before = None, None
         for batch in batches:
             for shard, *row, words in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if shard != current and held[0]:
                     yield search(*held)
                     held = ([], [], [], [])
-                current = shard
+                if [shard, *row] == before:
+                    continue  # the same place of a repeated row
+                current, before = shard, [shard, *row]
                 for column, value in zip(held, [*row, words.split(" ")], strict=True):
                     column.append(value)
         if held[0]:

@@ -133,6 +133,15 @@ def test_passages_like_brute_force(spark, edges, hot, monkeypatch):
     assert passages.remove_repeated(edges).count() == len(EDGES)
 
 
+@pytest.mark.parametrize("hot", [5000, 0])
+def test_repeated_rows_keep_their_passage(spark, hot, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_SEGMENTS", hot)
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, passage), (1, passage), (1, passage), (2, "before " + passage), (None, "x " * 25), (None, "x " * 25)]
+    got = passages.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 25, 24)] * 2 + [(1, 30, 0)] * 3 + [(2, 31, 30)]
+
+
 @pytest.mark.parametrize(("k", "percent", "limit"), [(3, 90, 3_000_000), (1, 80, 200)])
 def test_components_like_brute_force(spark, edges, k, percent, limit, monkeypatch):
     monkeypatch.setattr(jaccard, "LIMIT", limit)
