@@ -6,8 +6,9 @@ as a segment. Equal windows have equal anchors at equal places within them: the
 once holds no repeated window, and shards made by anchor see all occurrences of a window.
 Equal segments are reduced to the earliest; the later ones are removed whole. The earliest of each go with their words to shards
 of bounded size. A shard builds a compressed FM-index of its segments and streams them through it by backward search;
-windows whose match of ``WINDOW`` words also starts earlier are reported. An anchor with very many different segments is
-divided further: its windows travel one by one, by their own hash.
+windows whose match of ``WINDOW`` words also starts earlier are reported. An anchor with very many different segments sends
+no words: each of its windows is a narrow row with a 128-bit hash of its words, and equal windows are reduced to the earliest by an
+aggregate that combines before the shuffle. All occurrences of a window have the anchor, so such windows need no index.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WINDOW = 20
 GRAM = 5
 # Windows in one segment at most: as many as a run of GRAM words has places in a window.
 MOST = WINDOW - GRAM + 1
-# Symbols in a shard, about; and different segments of one anchor beyond which its windows are spread.
+# Symbols in a shard, about; and different segments of one anchor beyond which its windows are compared by hash.
 SHARD_SYMBOLS = 1_500_000
 HOT_SEGMENTS = 5_000
 MAX_CACHED_WORDS = 500_000
@@ -177,7 +178,7 @@ def _repeated(anchored: DataFrame) -> DataFrame:
 
 
 def _worded(texts: DataFrame) -> DataFrame:
-    """shard, doc, copy, at, words of the listed segments of each text; hot anchors' windows one by one."""
+    """shard, doc, copy, at, words of the listed segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +189,10 @@ def _worded(texts: DataFrame) -> DataFrame:
                 doc, copy, shards = doc.as_py(), copy.as_py(), shards.as_py()
                 words = split_words(text.as_py())
                 for part in listed.as_py():
-                    first, n = part["at"] // MOST, part["at"] % MOST + 1
-                    for at, count in [(first + k, 1) for k in range(n)] if part["hot"] else [(first, n)]:
-                        run_of = " ".join(words[at : at + count + WINDOW - 1])
-                        key = xxhash.xxh3_64_intdigest(run_of) if part["hot"] else part["anchor"]
-                        out.append((key % shards, doc, copy, at, run_of))
-                        size += len(run_of)
+                    at, n = part["at"] // MOST, part["at"] % MOST + 1
+                    run_of = " ".join(words[at : at + n + WINDOW - 1])
+                    out.append((part["anchor"] % shards, doc, copy, at, run_of))
+                    size += len(run_of)
                 if size > 4_000_000:
                     yield _rows(out)
                     out, size = [], 0
@@ -209,6 +208,42 @@ def _worded(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "shard bigint, doc bigint, copy bigint, at bigint, words string")
 
 
+def _windows(texts: DataFrame) -> DataFrame:
+    """digest, doc, copy, at of each window of the listed segments of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, copy, text, listed in zip(*(batch.column(k) for k in ("doc", "copy", "text", "list")), strict=True):
+                doc, copy = doc.as_py(), copy.as_py()
+                words = split_words(text.as_py())
+                for part in listed.as_py():
+                    first, n = part["at"] // MOST, part["at"] % MOST + 1
+                    for at in range(first, first + n):
+                        out.append((xxhash.xxh3_128_digest(" ".join(words[at : at + WINDOW])), doc, copy, at))
+                if len(out) > 100_000:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.binary()] + [pa.int64()] * 3
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["digest", "doc", "copy", "at"]
+        )
+
+    return texts.mapInArrow(run, "digest binary, doc bigint, copy bigint, at bigint")
+
+
+def _later_windows(windows: DataFrame) -> DataFrame:
+    """doc, copy, begin, end of the windows that have an equal one at an earlier place."""
+    place = F.struct("doc", "copy", "at")
+    kept = windows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    later = windows.join(kept.select("digest", "first"), "digest").where(place != F.col("first"))
+    return later.select("doc", "copy", F.col("at").alias("begin"), (F.col("at") + WINDOW).alias("end"))
+
+
 def _searched(worded: DataFrame, shards: int) -> DataFrame:
     """doc, copy, begin, end: runs of words covered by windows that start earlier in the same shard."""
     ordered = worded.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "copy", "at")
@@ -266,15 +301,19 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     found = stored(_repeated(_anchored(own)), "repeated-segments")
     firsts = found.where("first")
-    hot = firsts.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
-    total = firsts.agg(F.coalesce(F.sum(F.col("at") % MOST + WINDOW), F.lit(0))).first()[0]
+    hot = firsts.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor")
+    hot = stored(hot, "hot-anchors")
+    cold = firsts.join(hot, "anchor", "left_anti")
+    total = cold.agg(F.coalesce(F.sum(F.col("at") % MOST + WINDOW), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_SYMBOLS), min(spark.sparkContext.defaultParallelism, -(-total // 50_000)))
-    listed = firsts.join(hot, "anchor", "left").groupBy("doc", "copy").agg(
-        F.collect_set(F.struct("anchor", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("list")
-    )
+    listed = cold.groupBy("doc", "copy").agg(F.collect_list(F.struct("anchor", "at")).alias("list"))
     by_doc = own.repartition("doc", "copy")
     texts = by_doc.join(listed.withColumn("shards", F.lit(shards).cast("long")), ["doc", "copy"])
     index_hits = _searched(_worded(texts), shards)
+    if not hot.isEmpty():
+        listed = firsts.join(hot, "anchor", "left_semi").groupBy("doc", "copy").agg(F.collect_list(F.struct("at")).alias("list"))
+        windows = stored(_windows(by_doc.join(listed, ["doc", "copy"])), "hot-windows")
+        index_hits = index_hits.unionByName(_later_windows(windows))
     copies = found.where("not first").select(
         "doc", "copy", F.expr(f"at div {MOST}").alias("begin"), F.expr(f"at div {MOST} + at % {MOST} + {WINDOW}").alias("end")
     )

@@ -133,6 +133,19 @@ def test_passages_like_brute_force(spark, edges, hot, monkeypatch):
     assert passages.remove_repeated(edges).count() == len(EDGES)
 
 
+def test_hot_anchors_send_no_words(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_SEGMENTS", 20)
+    sent, worded = [], passages._worded
+    monkeypatch.setattr(passages, "_worded", lambda texts: sent.append(worded(texts)) or sent[-1])
+    passage = " ".join(f"w{i}" for i in range(22))
+    rows = [(i, f"a{i} {passage} b{i}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.remove_repeated(frame).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(i, 22 * (i > 0)) for i in range(300)]
+    heavy = sent[0].selectExpr("split(words, ' ') w").where("size(array_intersect(w, array('w0', 'w21'))) > 0").count()
+    assert heavy <= 2 * 20
+
+
 @pytest.mark.parametrize("hot", [5000, 0])
 def test_repeated_rows_keep_their_passage(spark, hot, monkeypatch):
     monkeypatch.setattr(passages, "HOT_SEGMENTS", hot)
