@@ -5,14 +5,15 @@ distances are near 1 and no pivot tells them apart. The join therefore works in
 
 First cells. The shingle universe is cut by hash into more slices than two linked sets can differ in shingles, so linked sets agree
 in one slice at least, and a set with shingles in enough slices agrees in one that is not empty. Documents with the same content in a slice are in one cell, a ball of radius 0 around it in the distance of that
-slice. Each cell ties its documents to its smallest one, and connected cells make a cluster. Slices depend on the size class,
+slice. A set enters only its rarest cells, as many as linked sets can differ in and one more, so that common shingles do not tie
+unrelated texts. Each cell ties its documents to its smallest one, and connected cells make a cluster. Slices depend on the size class,
 and each document enters the slices of its own class and the next one, because linked sets are at most one class apart.
 
 Then regions. Within a cluster, pivots are chosen, each document goes to the region of its nearest pivot, and also to each region whose
 pivot is at most twice the link distance farther away; by the triangle inequality linked documents share a region. Documents within link
-distance of a pivot are linked at once. Regions are divided in the same way, clusters over a size limit as tables, smaller ones
-within a task, until a region is small or does not get smaller. The latter is finished star by star: the documents linked to a
-pivot can be linked only to those within twice the distance, which are compared with them, and then leave the region.
+distance of a pivot are linked at once. Regions are divided within a task until a region is small or does not get smaller. The latter is finished star by star: the
+documents linked to a pivot can be linked only to those within twice the distance, which are compared with them, and then leave the
+region. Clusters over a size limit lose their stars as tables; what does not get smaller is spread as pairs of blocks over tasks.
 
 Equal sets are one class throughout; of pairs in one component no more than one link is kept.
 """
@@ -39,6 +40,8 @@ LIMIT = 3_000_000
 SMALL = 32
 PIVOTS = 8
 ROUNDS = 4
+# Sets in a cell beyond which it counts as equally common.
+COMMON = 1_000
 SLACK = 1e-9
 
 
@@ -76,14 +79,17 @@ class Slices:
             b = self.bounds[-1]
             self.bounds.append(max(b + 1, -(-b * 100 // self.percent)))
 
-    def of(self, shingles: np.ndarray) -> np.ndarray:
-        """One signature for each slice of the set's own class and of the next."""
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, tag): a signature for each slice of the set's own class and of the next, and spare << 1 | class.
+
+        ``spare`` cells of the class may be left out, if all sets leave out those that are last in one common order.
+        """
         size = len(shingles)
         if not size:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._grow(size)
         own = bisect_right(self.bounds, size) - 1
-        out = []
+        out, tags = [], []
         for scheme in (own, own + 1):
             # Linked sets of sizes below the class's end differ in this many shingles at most.
             differ = 2 * (self.bounds[scheme + 1] - 1) * (100 - self.percent) // (100 + self.percent)
@@ -96,8 +102,10 @@ class Slices:
             # With more slices in use than can differ, one of those in use agrees, and empty ones, which unrelated
             # sets share, need no cell.
             used = np.bincount(slice_of, minlength=n) > 0
+            spare = max(int(used.sum()) - differ - 1, 0)
             out.append(cells[used] if used.sum() > differ else cells)
-        return np.concatenate(out).view(np.int64)
+            tags.append(np.full(len(out[-1]), spare << 1 | scheme - own, np.int64))
+        return np.concatenate(out).view(np.int64), np.concatenate(tags)
 
 
 def _prepared(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -109,23 +117,79 @@ def _prepared(docs: DataFrame, k: int, percent: int) -> DataFrame:
             at = 0
             for texts in slices(batch.column("text")):
                 sets = shingle_hashes([split_words(lower_ascii(t or "")) for t in texts], k, hasher)
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                found = [cells.of(s) for s in sets]
+                ends = np.cumsum([0, *(len(f[0]) for f in found)])
+                # The tag tells the sets of a document with several texts apart by a part of the digest.
+                marks = [f[1] << 32 | int.from_bytes(d[:4]) for f, d in zip(found, digests, strict=True)]
+                parts = [np.concatenate([f[0] for f in found]), np.concatenate(marks)]
+                pairs = pa.StructArray.from_arrays([pa.array(c) for c in parts], ["cell", "tag"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(at, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([cells.of(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array(digests, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                     ],
                     ["doc", "n", "digest", "signatures"],
                 )
                 at += len(texts)
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, digest binary, signatures array<bigint>")
+    return docs.mapInArrow(run, "doc bigint, n bigint, digest binary, signatures array<struct<cell: bigint, tag: bigint>>")
+
+
+def _rarest(classes: DataFrame) -> DataFrame:
+    """cell, doc: the cells of each set that others have too, without its ``spare`` most common ones.
+
+    Of the slices two linked sets agree in, take the first in the order of (sets in the cell, cell), which is the same for all sets.
+    Before it, each of the two has only slices they differ in, so that neither leaves it out. Counts end at COMMON, so that only so many
+    rows are held back.
+    """
+    rows = classes.select(F.explode("signatures").alias("s"), "doc").select("s.cell", "s.tag", "doc")
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full = None, None  # rows of the last cell, and the cell whose first COMMON rows are passed on
+
+        def counted(columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keep = np.flatnonzero(count > 1)
+            if len(keep):
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c[keep]) for c in columns), pa.array(count[keep])], ["cell", "tag", "doc", "count"]
+                )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in ("cell", "tag", "doc")]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            cell = columns[0]
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            lengths = np.diff(starts, append=len(cell))
+            counts = np.minimum(lengths, COMMON)
+            if full is not None and cell[0] == full:
+                counts[0] = COMMON
+            end = len(cell)
+            if counts[-1] < COMMON:
+                end, full = int(starts[-1]), None
+            else:
+                full = cell[-1]
+            held = [c[end:] for c in columns]
+            yield from counted([c[:end] for c in columns], np.repeat(counts, lengths)[:end])
+        if held is not None and len(held[0]):
+            yield from counted(held, np.full(len(held[0]), len(held[0]), np.int64))
+
+    shared = rows.mapInArrow(run, "cell bigint, tag bigint, doc bigint, count bigint")
+    own = shared.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("count", "cell"))).alias("cells"))
+    kept = (F.size("cells") - F.shiftright("tag", 33)).cast("int")
+    own = own.withColumn("_kept", kept).where("_kept > 0")
+    return own.select(F.explode(F.slice("cells", F.lit(1), F.col("_kept"))).alias("c"), "doc").select("c.cell", "doc")
 
 
 def _cell_links(classes: DataFrame) -> DataFrame:
     """u, v: each document of a cell with the cell's smallest. Rows come sorted by cell and pass as they come."""
-    rows = classes.select(F.explode("signatures").alias("cell"), "doc").repartition("cell").sortWithinPartitions("cell", "doc")
+    rows = _rarest(classes).repartition("cell").sortWithinPartitions("cell", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, smallest = None, None
@@ -237,50 +301,97 @@ def _links_of(region: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[
 
 
 def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One round of pivots and regions over tables: (links to pivots, members by new region)."""
+    """One round of stars over tables: (links to pivots, members by new region).
+
+    A document belongs to the first pivot it is linked to and leaves the region with it. What it may still be linked to is within
+    twice the link distance of that pivot, its rim; where there is a rim, the part of the star that can reach it forms a region with it.
+    """
+    reach = (100 - percent) / 100
     order = Window.partitionBy("region").orderBy(F.xxhash64("doc"), "doc")
     chosen = members.select("region", "doc", "shingles").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PIVOTS)
     pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("doc", "shingles"))).alias("pivots"))
 
+    def distances(own: np.ndarray, others: list[np.ndarray]) -> list[tuple[float, bool]]:
+        out = []
+        for other in others:
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            union = len(own) + len(other) - common
+            out.append((1 - common / union, 100 * common >= percent * union))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = (100 - percent) / 100
+        known, sets, active = None, [], []
         for batch in batches:
-            rows = {"region": [], "doc": [], "shingles": [], "pivot": [], "linked": []}
+            rows = {"zone": [], "region": [], "doc": [], "shingles": [], "pivot": [], "distance": [], "linked": []}
             for region, doc, data, pivots_of in zip(*(batch.column(i) for i in range(4)), strict=True):
-                own = np.frombuffer(data.as_py(), "<u8")
-                found = []
-                for p in pivots_of.as_py():
-                    other = np.frombuffer(p["shingles"], "<u8")
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    union = len(own) + len(other) - common
-                    found.append((1 - common / union, p["doc"], 100 * common >= percent * union))
-                home = min(found)[0]
-                for distance, pivot, linked in found:
-                    if distance <= home + 2 * reach + SLACK:
-                        name = xxhash.xxh3_64_intdigest(f"{region.as_py()} {pivot}") >> 1
-                        for key, value in zip(rows, (name, doc.as_py(), data.as_py(), pivot, linked), strict=True):
+                region, doc, data = region.as_py(), doc.as_py(), data.as_py()
+                if region != known:
+                    docs, sets = zip(*((p["doc"], np.frombuffer(p["shingles"], "<u8")) for p in pivots_of.as_py()), strict=True)
+                    known, active = region, []
+                    for k, own in enumerate(sets):
+                        # A pivot linked to one before it has left with that one.
+                        if not any(linked for _, linked in distances(own, [sets[a] for a in active])):
+                            active.append(k)
+                found = distances(np.frombuffer(data, "<u8"), [sets[a] for a in active])
+                left = False
+                for a, (distance, linked) in zip(active, found, strict=True):
+                    if linked or distance <= 2 * reach + SLACK:
+                        zone = xxhash.xxh3_64_intdigest(f"{region} {a}") >> 1
+                        for key, value in zip(rows, (zone, region, doc, data, docs[a], distance, linked), strict=True):
                             rows[key].append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+                    if linked:
+                        left = True
+                        break
+                if not left:
+                    zone = xxhash.xxh3_64_intdigest(f"{region} rest") >> 1
+                    for key, value in zip(rows, (zone, region, doc, data, None, None, False), strict=True):
+                        rows[key].append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
 
     joined = members.select("region", "doc", "shingles").join(pivots, "region")
-    placed = joined.mapInArrow(run, "region bigint, doc bigint, shingles binary, pivot bigint, linked boolean")
+    placed = joined.mapInArrow(
+        run, "zone bigint, region bigint, doc bigint, shingles binary, pivot bigint, distance double, linked boolean"
+    )
     placed = stored(placed, "regions")
-    return placed.where("linked").select(F.col("doc").alias("u"), F.col("pivot").alias("v")), placed.select("region", "doc", "shingles")
+    links = placed.where("linked").select(F.col("doc").alias("u"), F.col("pivot").alias("v"))
+    rims = placed.where("not linked and pivot is not null").groupBy("zone").agg(F.min("distance").alias("_rim"))
+    inside = F.col("pivot").isNull() | (F.col("_rim").isNotNull() & (~F.col("linked") | (F.col("distance") >= F.col("_rim") - reach - SLACK)))
+    kept = placed.join(rims, "zone", "left").where(inside)
+    return links, kept.select(F.col("zone").alias("region"), "doc", "shingles")
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Regions (region, s: shingles) that do not get smaller, as one region of about LIMIT for each two blocks of documents."""
+    blocks = F.ceil(F.col("s") * 2 / LIMIT).cast("long")
+    rows = members.join(sizes.select("region", blocks.alias("_n")), "region")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_n")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    name = F.xxhash64("region", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return rows.select(name.alias("region"), "doc", "shingles")
 
 
 def _region_links(members: DataFrame, percent: int) -> DataFrame:
     """u, v: links within regions (region, doc, shingles); a region is one task's work at a time."""
     size = F.octet_length("shingles") / 8
     links, now = None, stored(members, "regions")
+
+    def larger(now: DataFrame) -> DataFrame:
+        sizes = now.groupBy("region").agg(F.sum(size).alias("s"), F.count("*").alias("c"))
+        return stored(sizes.where((F.col("s") > LIMIT) & (F.col("c") > 1)).select("region", "s"), "large-regions")
+
+    large, before = larger(now), None
     for _ in range(ROUNDS):
-        large = now.groupBy("region").agg(F.sum(size).alias("s")).where(F.col("s") > LIMIT).select("region")
-        large = stored(large, "large-regions")
-        if large.isEmpty():
+        total = large.agg(F.sum("s")).first()[0]
+        if total is None or (before is not None and 2 * total > before):
             break
-        found, divided = _divided(now.join(large, "region"), percent)
+        before = total
+        found, divided = _divided(now.join(large.select("region"), "region"), percent)
         links = found if links is None else links.unionByName(found)
         now = stored(now.join(large, "region", "left_anti").unionByName(divided), "regions")
+        large = larger(now)
+    if not large.isEmpty():
+        now = now.join(large, "region", "left_anti").unionByName(_in_blocks(now, large))
 
     ordered = now.repartition("region").sortWithinPartitions("region", F.octet_length("shingles"), "doc")
 

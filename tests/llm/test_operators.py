@@ -222,3 +222,45 @@ def test_bpe_like_the_library(spark, edges):
         table.edit(at // 2, min(3, max(len(data) - at // 2, 0)), b"new") if len(data) > at else None
         assert table.last == bpe.PrefixTable(own.vocabulary, table.data).last
     assert bpe.encode_table(edges).count() == len(EDGES)
+
+
+def test_common_shingles_tie_no_unrelated_texts(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = [f"u{i}x{j}" for j in range(100)] + [f"common{rnd.randint(0, 60)}" for _ in range(8)]
+        rows.append((i, " ".join(words)))
+    rows.append((300, rows[7][1].replace("u7x50", "other")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prepared = jaccard._prepared(frame.selectExpr("doc_id doc", "text"), 1, 80)
+    ties = jaccard._cell_links(prepared.select("doc", "signatures")).collect()
+    assert {(r.u, r.v) for r in ties} == {(300, 7)}
+    found = jaccard.near_duplicates(frame, k=1).collect()
+    assert {r.doc_id: r.component_id for r in found} == {**{i: i for i in range(300)}, 300: 7}
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_large_regions_stay_whole_and_small(spark, percent, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIMIT", 400)
+    rnd = random.Random(9)
+    sets = {}
+    for i in range(90):
+        if i % 3:
+            core = set(range(40))
+            sets[i] = (core - set(rnd.sample(range(40), rnd.randint(0, 6)))) | {1000 * i + j for j in range(rnd.randint(0, 4))}
+        else:
+            sets[i] = {1000 * i + j for j in range(30)} | {1, 2}
+    rows = [(0, i, np.array(sorted(s), "<u8").tobytes()) for i, s in sets.items()]
+    members = spark.createDataFrame(rows, "region long, doc long, shingles binary")
+    group = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    group[b] = min(group[a], group[b])
+    links = jaccard._region_links(members, percent).collect()
+    found = {d: d for d in sets}
+    for _ in sets:
+        for r in links:
+            found[r.u] = found[r.v] = min(found[r.u], found[r.v])
+    assert found == group
