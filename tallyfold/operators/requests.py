@@ -56,6 +56,32 @@ def build_chat_requests(
     }
 
 
+def summarise_conversations(
+    turns: DataFrame, limits: DataFrame, key: str = "conv_id", order: Sequence[str] = ("turn",), max_body: int = MAX_BODY
+) -> DataFrame:
+    """Messages, roles, digest of the texts and ``max_tokens`` of every conversation, oversize ones included.
+
+    MD5 needs the texts in order, so an oversize conversation is gathered as one row for it; the
+    JVM holds 2 GB in one value, and the query fails beyond that instead of leaving a row out.
+    """
+    built = build_chat_requests(turns, limits, key, order, max_body)
+    message = F.struct(*order, "role", F.col("text").alias("content"))
+    oversize = built["oversize"].groupBy(key).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    asked = limits.select(key, token_limit(F.col("max_tokens")).alias("max_tokens"))
+    tokens = F.coalesce("max_tokens", F.lit(float(DEFAULT_TOKENS))).alias("max_tokens")
+
+    def summary(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            key,
+            F.size("messages").alias("messages"),
+            F.array_join("messages.role", ",").alias("roles"),
+            F.md5(F.array_join("messages.content", "\n")).alias("digest"),
+            tokens,
+        )
+
+    return summary(built["requests"]).unionByName(summary(oversize.join(asked, key, "left")))
+
+
 def build_image_requests(df: DataFrame) -> DataFrame:
     """Rows with prompt, mediaType and imageData as one user message of two content blocks.
 

@@ -23,7 +23,7 @@ from ..operators.refunds import (
     paid_last_12_months,
     refund_decision,
 )
-from ..operators.requests import build_chat_requests, build_image_requests
+from ..operators.requests import build_image_requests, summarise_conversations
 from ..operators.service import refund_timeline, response_due
 from .registry import Tables, query
 
@@ -358,14 +358,7 @@ def c1(t: Tables) -> DataFrame:
     limits = t.conversations.select(
         "conv_id", (F.col("conv_id") * 200).cast("string").alias("max_tokens")
     ).distinct()
-    built = build_chat_requests(t.conversations, limits)["requests"]
-    return built.select(
-        "conv_id",
-        F.size("messages").alias("messages"),
-        F.array_join("messages.role", ",").alias("roles"),
-        F.md5(F.array_join("messages.content", "\n")).alias("digest"),
-        "max_tokens",
-    )
+    return summarise_conversations(t.conversations, limits)
 
 
 @query(

@@ -376,3 +376,19 @@ def test_image_requests(spark):
     image, words = row.messages[0].content
     assert (row.id, row.max_tokens, image.source.media_type, image.source.data, words.text) == (1, 4000.0, "image/png", "d", "p")
     assert words.source is None and image.text is None
+
+
+def test_oversize_conversations_stay_in_the_result(spark):
+    from hashlib import md5
+
+    from tallyfold.operators.requests import summarise_conversations
+
+    turns = spark.createDataFrame(
+        [(1, 2, "user", "b"), (1, 1, "system", "a"), (2, 2, "user", "y"), (2, 1, "user", "x" * 50)],
+        "conv_id int, turn int, role string, text string",
+    )
+    limits = spark.createDataFrame([(1, "0"), (2, "9000")], "conv_id int, max_tokens string")
+    assert sorted(tuple(r) for r in summarise_conversations(turns, limits, max_body=40).collect()) == [
+        (1, 2, "system,user", md5(b"a\nb").hexdigest(), 4000.0),
+        (2, 2, "user,user", md5(("x" * 50 + "\ny").encode()).hexdigest(), 8000.0),
+    ]
