@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, grader, jaccard, language, passages, quality, secrets, token_files, url_filter
+from tallyfold.llm import (
+    bpe, collocations, decontaminate, grader, jaccard, language, passages, piece_bpe, quality, secrets, token_files,
+    url_filter, whitening,
+)
 from tallyfold.llm.sql import QUALITY_SQL, URL_SQL
 from tallyfold.session import tune
 
@@ -92,3 +95,18 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_table(_table(spark, folder, "documents"))
+
+
+@_query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@_query("op12_phrase_collocations")
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(_table(spark, folder, "documents"))
+
+
+@_query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_bpe.encode_table(_table(spark, folder, "documents"))
