@@ -4,8 +4,9 @@ A normalised text is a row of symbols, at first its characters. An agenda holds
 text is a piece, best score first and of equal scores the one further left; the best pair becomes one symbol and its new
 neighbours enter the agenda, until it is empty. Symbols that are no pieces go by the byte pieces of their UTF-8 form.
 
-Where no piece holds the word mark after another character, symbols never merge across the place before a
-mark, so that a text may be cut there and each distinct part is encoded once. Parts that are new are checked against the
+Two symbols never merge across a place whose two characters stand side by side in no piece. A text may be cut at such places:
+before a word mark, if no piece holds one after another character; between a letter and a closing mark, unless a piece
+joins the two; and around line ends, which are in no piece. Each distinct part is encoded once. Parts that are new are checked against the
 sentencepiece library, all those of an Arrow batch in one call.
 """
 
@@ -28,11 +29,13 @@ from tallyfold.llm.pretokens import slices
 
 MODEL_FILE = "piece_bpe_32k.model"
 MARK = "▁"
-PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# What may close a word; letters that the vocabulary joins to one of these are not cut off from them.
+CLOSING = ".,;:!?)#$%&*|<>\"\n\t\r"
+LINE_END = "\n"
 # Fixed value: how the library writes the unknown piece.
 UNKNOWN_SURFACE = " ⁇ "
 # A worker's cache of parts, in bytes as counted by ``_cost``; it is emptied when it is full.
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 128_000_000
 
 
 def _cost(part: str) -> int:
@@ -52,6 +55,12 @@ class MergeVocabulary:
         self.byte_ids = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        bound = "".join(re.escape(x[0]) for x in joined if x[1] in CLOSING and x[0].isalpha() | x[0].isnumeric() and not x[0].isdecimal())
+        closing, letters = re.escape(CLOSING), f"[^\\W\\d_{bound}]"
+        self.cuts_at_lines = not any(LINE_END in x for x in self.pieces)
+        word = f"{MARK}*{letters}+(?=[{closing}{MARK}])|[{closing}]*{LINE_END}|" if self.cuts_at_lines else ""
+        self.part = re.compile(f"{word}{MARK}*[^{MARK}]+|{MARK}+")
         bytes_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.is_byte = np.array([i in bytes_of for i in ids])
         self.opens = np.array([lib.id_to_piece(i).startswith(MARK) and i not in special for i in ids])
@@ -119,10 +128,13 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def _library_ids(self, parts: list[str]) -> list[list[int]] | None:
-        """The library's ids of parts that begin with a mark: the mark is what it puts before the rest."""
-        texts = [p[1:].replace(MARK, " ") for p in parts]
-        return self.vocabulary.library.encode(texts, num_threads=1)
+    def _library_ids(self, parts: list[str]) -> list[list[int]]:
+        """The library's ids of parts. It puts a mark before every text: that of the part, or that of a line end before it."""
+        library = self.vocabulary.library
+        context = library.encode(LINE_END)
+        texts = [(p[1:] if p[0] == MARK else LINE_END + p).replace(MARK, " ") for p in parts]
+        found = library.encode(texts, num_threads=1)
+        return [ids if p[0] == MARK else ids[len(context) :] for p, ids in zip(parts, found, strict=True)]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with begin and end, as little-endian unsigned 32-bit integers.
@@ -131,14 +143,13 @@ class PieceEncoder:
         """
         v = self.vocabulary
         normal = v.library.normalize([t or "" for t in texts])
-        cut = [PART.findall(t) if v.cuts_at_marks else [t] * bool(t) for t in normal]
+        cut = list(map(v.part.findall, normal)) if v.cuts_at_marks else [[t] * bool(t) for t in normal]
         known = self.known
         new = list(set().union(*cut).difference(known))
         found = [v.merge(p) for p in new]
         if self.check:
-            checked = [(p, ids) for p, ids in zip(new, found, strict=True) if p.startswith(MARK)]
-            for (part, ids), own in zip(checked, self._library_ids([p for p, _ in checked]), strict=True):
-                # A part of marks alone loses its first to what the library puts before an empty text: nothing.
+            for part, ids, own in zip(new, found, self._library_ids(new), strict=True):
+                # The library puts no mark before an empty text, which is what a single mark comes from.
                 if part != MARK and ids != own:
                     raise ValueError(f"the library encodes {part!r} as {own}, not {ids}")
         coded = {p: array("I", ids).tobytes() for p, ids in zip(new, found, strict=True)}
