@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.pretokens import MAX_CACHED_PIECE, pieces, room, slices
 
-MAX_CACHED_PAIRS = 500_000
+# About 120 bytes each.
+MAX_CACHED_PAIRS = 250_000
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -224,6 +225,12 @@ class Encoder:
             del matches[m]
         return out
 
+    def forget(self) -> None:
+        """Drop everything that grew with the texts."""
+        v = self.vocabulary
+        for cache in (self.words, self.matches, v.lengths, v._pairs):
+            cache.clear()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of one text."""
         return self.encode_many([text])[0]
@@ -242,7 +249,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each rank file in a worker; it keeps its caches from task to task."""
+    """One encoder for each rank file in a worker; its caches are dropped when a task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(read_ranks(path))
     return _ENCODERS[path]
@@ -268,22 +275,25 @@ def encode_table(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
-            at = 0
-            for texts in slices(batch.column("_text")):
-                ids = own.encode_many(texts)
-                columns = [batch.column(i).slice(at, len(texts)) for i in range(len(keep))]
-                columns += [
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(i)).hexdigest() for i in ids], pa.string()),
-                ]
-                names = [f"_keep_{i}" for i in range(len(keep))] + ["n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                at = 0
+                for texts in slices(batch.column("_text")):
+                    ids = own.encode_many(texts)
+                    columns = [batch.column(i).slice(at, len(texts)) for i in range(len(keep))]
+                    columns += [
+                        pa.array([len(i) // 4 for i in ids], pa.int64()),
+                        pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                        pa.array([hashlib.sha256(own.decode(i)).hexdigest() for i in ids], pa.string()),
+                    ]
+                    names = [f"_keep_{i}" for i in range(len(keep))] + ["n_tokens", "ids_sha256", "decoded_sha256"]
+                    if with_ids:
+                        columns.append(pa.array(ids, pa.binary()))
+                        names.append("ids")
+                    at += len(texts)
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            own.forget()  # an idle worker holds no cache while others work
 
     encoded = kept.mapInArrow(run, ", ".join(kinds + added))
     return encoded.withColumnsRenamed({f"_keep_{i}": c for i, c in enumerate(keep)})

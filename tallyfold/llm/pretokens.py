@@ -17,7 +17,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)
 _UNEVEN = re.compile(f" (?:[{WHITE}]|$)")
 _PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 MAX_CACHED_PIECE = 64
-MAX_CACHED_PIECES = 800_000
+# About 250 bytes each, so that a worker's cache stays under 80 MB.
+MAX_CACHED_PIECES = 300_000
 SLICE_BYTES = 4_000_000
 
 

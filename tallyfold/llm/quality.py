@@ -115,13 +115,16 @@ def _common_counts(df: DataFrame, common: list[str]) -> DataFrame:
     return df.withColumn("_word_shares", F.transform(shares, lambda c: c / F.greatest("_n_words", F.lit(1))))
 
 
-def measure_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def measure_quality(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_text: bool = False
+) -> DataFrame:
     """``keep`` columns and, for every row, counts, divergences and verdicts.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); char_distance and word_distance (double,
     to the nearest language, null for texts under the minimum lengths); base_failed and kept (boolean). A null or
     empty text has no words and fails. Repeated rows are judged each; other columns of ``docs`` are not read.
-    A text is one row; its longest intermediate value is five times its own size.
+    A text is one row; its longest intermediate value is five times its own size. ``with_text`` adds the text itself as _text,
+    empty where it is null.
     """
     df = docs.select(
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
@@ -164,10 +167,14 @@ def measure_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
         (~failed & ~far & (F.monotonically_increasing_id() >= 0)).alias("kept"),
         F.col("_char_distance").alias("char_distance"),
         F.col("_word_distance").alias("word_distance"),
+        *[F.col("_text")] * with_text,
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, whatever their names."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"))
-    return measure_quality(rows, keep=("_row",)).where("kept").select("_row.*")
+    # The text goes once through each row; a null one is never kept.
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    rows = docs.select(F.struct(F.lit(1).alias("one"), *others).alias("_row"), F.col(f"`{text}`").alias("text"))
+    kept = measure_quality(rows, keep=("_row",), with_text=True).where("kept")
+    return kept.select(*[F.col("_text" if c == text else f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,16 +1,18 @@
 """Token ids of documents as Simple-8b coded files.
 
 A coded document is a row of little-endian 64-bit words. The top four bits of a word select how many ids it packs and how
-wide each is; selector 15 is an escape: the word after it is one id as it is. ``block_words`` holds, for every
-block of ``BLOCK`` packed words, how many ids stand before it, so that a reader can decode any block alone and
-all words of one selector with one array operation. Files are Parquet, written in ascending document order, with one
-row for each document: shard, place in the shard, doc_id, n_tokens, words and block_words.
+wide each is; selector 15 is an escape: the word after it is one id as it is. ``blocks`` holds, for every block of about
+``BLOCK`` words, its first word and how many ids stand before it, so that a reader can decode any block alone (``read_block``) and
+all words of one selector with one array operation; an escape and its id are always in one block. Files are Parquet, written
+in ascending document order, with one row for each document: shard, place in the shard, doc_id, n_tokens, words and blocks.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyfold.llm.pretokens import MAX_CACHED_PIECE, pieces, room, slices
+from tallyfold.llm.pretokens import MAX_CACHED_PIECE, MAX_CACHED_PIECES, WHITE, slices
 from tallyfold.session import scratch_path
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -33,6 +35,17 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ONE, ESCAPE = 15, 0xF << 60
 # Fixed value: how the vocabulary file writes a blank.
 BLANK = "\u0120"
+# Letters of Latin and Cyrillic script, which any version of Unicode calls letters. The split pattern ends a match between such
+# a letter and anything that is none, and around a line end that stands between other characters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u052f"
+CLOSING = ".,;:!?"
+PART = re.compile(
+    f" ?[{LETTERS}]++(?=[{CLOSING}{WHITE}]|$)"  # a word, with the blank before it
+    f"|[{CLOSING}]++(?=[{WHITE}]|$)"  # what closes it
+    f"|\n(?=[{LETTERS}])"  # a single line end
+    f"|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"  # anything else up to the next white space
+)
+WORD = re.compile(f" ?[{LETTERS}]+")
 # Selector 15 with a payload of 60 zero bits is the escape; one id of up to 59 bits has a one in bit 59.
 MARK = 1 << 59
 
@@ -123,117 +136,142 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return ids
 
 
+def block_table(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """(first word, ids before it) of each block of one document; ``before`` holds the ids before each word."""
+    first = np.arange(0, len(words), BLOCK)
+    at = np.flatnonzero(words == np.uint64(ESCAPE))
+    if len(at):
+        raw, last = set(), -2
+        for k in at.tolist():
+            if k != last + 1:
+                raw.add(k + 1)
+                last = k
+        first = np.array([k + (k in raw) for k in first.tolist()])
+    return np.stack([first, before[first]], axis=1).astype("<u8")
+
+
+def read_block(words: np.ndarray, blocks: np.ndarray, k: int) -> tuple[int, np.ndarray]:
+    """(ids of the document before the block, ids of block ``k``) from its own words alone."""
+    stop = int(blocks[k + 1, 0]) if k + 1 < len(blocks) else len(words)
+    return int(blocks[k, 1]), unpack(words[int(blocks[k, 0]) : stop])
+
+
+class _Places(dict):
+    """Parts to their places in the order of first use."""
+
+    def __missing__(self, part: str) -> int:
+        place = self[part] = len(self)
+        return place
+
+
 class WordEncoder:
-    """The tokenizers library, asked once for each distinct piece of text."""
+    """The tokenizers library, asked once for each distinct part of a text while the cache holds it.
+
+    The ids of all parts lie in one array; a text is a row of places in it, so that no part is a Python object but its name.
+    """
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        found = self.tokenizer.encode("\n", add_special_tokens=False).ids
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        found = tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = found[0] if len(found) == 1 else None
-        self.marks = dict(zip(["", ".", ",", "\n"], self._encode(["", ".", ",", "\n"]), strict=True))
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(max(tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.places = _Places()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = []
+    def _encode(self, parts: list[str]) -> Iterator[list[int]]:
         for i in range(0, len(parts), ENCODED_AT_ONCE):  # the library's results are many times larger than their ids
-            found = self.tokenizer.encode_batch_fast(parts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)
-            out += [np.array(f.ids, "<u4").tobytes() for f in found]
-        return out
-
-    def _encode_after_blank(self, words: list[str]) -> dict[str, bytes]:
-        """Distinct words, each after a blank, a thousand in one text, cut apart where a token begins with a blank."""
-        out = {}
-        for i in range(0, len(words), ENCODED_AT_ONCE):
-            run = words[i : i + ENCODED_AT_ONCE]
-            ids = np.frombuffer(self._encode([" " + " ".join(run)])[0], "<u4")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(run):
-                data, cuts = ids.tobytes(), (cuts * 4).tolist()
-                out.update((w, data[a:b]) for w, a, b in zip(run, cuts, [*cuts[1:], len(data)], strict=True))
+            for found in self.tokenizer.encode_batch_fast(parts[i : i + ENCODED_AT_ONCE], add_special_tokens=False):
+                yield found.ids
+
+    def _encode_joined(self, parts: list[str], between: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each) of words, a thousand in one text; they begin with a blank, or a line end is put after each."""
+        for i in range(0, len(parts), ENCODED_AT_ONCE):
+            run = parts[i : i + ENCODED_AT_ONCE]
+            ids = np.array(next(self._encode(["".join(p + between for p in run)])), np.uint32)
+            if between:
+                stops = np.flatnonzero(ids == self.line_end)
+                sizes = np.diff(stops, prepend=-1) - 1
+                ids = np.delete(ids, stops)
             else:
-                out.update(zip(run, self._encode([" " + w for w in run]), strict=True))
-        return out
-
-    def _encode_lines(self, lines: list[str]) -> dict[str, bytes]:
-        """Distinct lines without line ends inside, a thousand in one text, cut apart at the id of a line end."""
-        out = {}
-        for i in range(0, len(lines), ENCODED_AT_ONCE):
-            run = lines[i : i + ENCODED_AT_ONCE]
-            ids = np.frombuffer(self._encode(["\n".join(run) + "\n"])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
-            if len(cuts) == len(run):
-                data, cuts = ids.tobytes(), (cuts * 4).tolist()
-                out.update((w, data[a:b]) for w, a, b in zip(run, [0, *(c + 4 for c in cuts)], cuts, strict=False))
-            else:
-                out.update(zip(run, self._encode(run), strict=True))
-        return out
-
-    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """Words after a blank.
-
-        The pattern cuts between a letter and a closing point or comma, and before and after a single line end, so
-        such words are put together from their parts, and only parts that are not known yet are encoded.
+                sizes = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+            if len(sizes) != len(run) or sizes.sum() != len(ids):
+                each = list(self._encode(run))
+                ids, sizes = np.array(list(chain.from_iterable(each)), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+            yield ids, sizes
+
+    def _learn(self, first: int) -> None:
+        """Encode the parts from place ``first`` on."""
+        new = list(islice(self.places, first, None))
+        kinds = [[], [], []]
+        for k, p in enumerate(new):
+            kinds[2 if not WORD.fullmatch(p) or self.line_end is None else p[0] != " "].append(k)
+        runs = []
+        for kind, between in ((0, ""), (1, "\n")):
+            runs += self._encode_joined([new[k] for k in kinds[kind]], between)
+        for ids in self._encode([new[k] for k in kinds[2]]):
+            runs.append((np.array(ids, np.uint32), np.array([len(ids)])))
+        sizes = np.concatenate([s for _, s in runs])
+        starts, order = np.cumsum(sizes) - sizes + len(self.flat), np.concatenate([np.array(k, np.int64) for k in kinds])
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in runs)])
+        own = np.empty((2, len(new)), np.int64)
+        own[:, order] = starts, sizes
+        self.starts, self.sizes = np.concatenate([self.starts, own[0]]), np.concatenate([self.sizes, own[1]])
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the parts at these places, number of ids up to the end of each)."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)], ends
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Empty the cache but for short parts at these places."""
+        names = list(self.places)
+        kept = [k for k in np.unique(at).tolist() if len(names[k]) <= MAX_CACHED_PIECE]
+        if len(kept) > MAX_CACHED_PIECES // 2:
+            kept = []
+        own = np.array(kept, np.int64)
+        self.flat, ends = self._gathered(own)
+        self.sizes = self.sizes[own]
+        self.starts = ends - self.sizes
+        self.places = _Places(zip((names[k] for k in kept), range(len(kept)), strict=True))
+
+    def encode_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each); a null or empty text has none.
+
+        A text that holds the name of a special token goes to the library whole.
         """
-        cut, rest, stems, heads = {}, [], set(), set()
-        for w in words:
-            stem, close = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
-            if stem.isalpha():
-                cut[w] = (stem, close, None, "")
-                stems.add(stem)
-            elif self.line_end is not None and stem.count("\n") == 1:
-                before, head = stem.split("\n")
-                point = before[-1:] if before[-1:] in (".", ",") else ""
-                first = before[: len(before) - len(point)]
-                if first.isalpha() and head.isalpha():
-                    cut[w] = (first, point, head, close)
-                    stems.add(first)
-                    heads.add(head)
-                else:
-                    rest.append(w)
-            else:
-                rest.append(w)
-        known, lines = self.words, self.heads
-        blank = {k: known[k] for k in stems if k in known}
-        blank |= {k[1:]: v for k, v in self._encode_lines([" " + k for k in stems if k not in blank]).items()}
-        lines.update(self._encode_lines([h for h in heads if h not in lines]))
-        out = self._encode_after_blank(rest)
-        for w, (stem, point, head, close) in cut.items():
-            ids = blank[stem] + self.marks[point]
-            out[w] = ids if head is None else ids + self.marks["\n"] + lines[head] + self.marks[close]
-        return out
+        cut = [[] if not t else [t] if any(s in t for s in self.specials) else PART.findall(t) for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        first = len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if len(self.places) > first:
+            self._learn(first)
+        ids, ends = self._gathered(at)
+        if len(self.places) > MAX_CACHED_PIECES or len(self.flat) > 8 * MAX_CACHED_PIECES:
+            self._keep(at)
+        upto = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+        return ids, np.diff(upto)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; none of a null or empty text."""
-        cut = [pieces(t or "") for t in texts]
-        words = room(self.words)
-        known = [list(map(words.get, plain)) if plain else [] for _, plain, _ in cut]
-        missing = set()
-        for (_, plain, _), ids in zip(cut, known, strict=True):
-            if None in ids:
-                missing.update([w for w, i in zip(plain, ids, strict=True) if i is None])
-        room(self.heads)
-        own = self._encode_words(missing)
-        odd = list({p for first, _, uneven in cut for p in ([first] if uneven is None else uneven)})
-        pieces_of = dict(zip(odd, self._encode(odd), strict=True))
-        words.update((w, i) for w, i in own.items() if len(w) <= MAX_CACHED_PIECE)
-        out = []
-        for (first, plain, uneven), ids in zip(cut, known, strict=True):
-            if uneven is not None:
-                out.append(b"".join(map(pieces_of.__getitem__, uneven)))
-                continue
-            if None in ids:
-                ids = [own[w] if i is None else i for w, i in zip(plain, ids, strict=True)]
-            out.append(pieces_of[first] + b"".join(ids))
-        return out
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-FILE_COLUMNS = "shard int, place bigint, doc_id {kind}, n_tokens bigint, words binary, block_words binary"
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, sizes = self.encode_texts(texts)
+        ends = np.cumsum(sizes).tolist()
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+_TOKENIZERS: dict[str, Tokenizer] = {}
+FILE_COLUMNS = "shard int, place bigint, doc_id {kind}, n_tokens bigint, words binary, blocks binary"
+
+
+def encoder(path: str) -> WordEncoder:
+    """An encoder with an empty cache, over the one tokenizer that a worker holds for each file."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return WordEncoder(_TOKENIZERS[path])
 
 
 def write_token_files(
@@ -249,7 +287,8 @@ def write_token_files(
 
     A null or empty text has the end id only. Rows without an id come first; rows with the same id
     stand in the order of their texts' hashes, so repeated rows are all there. Other columns are not read. A shard is one range
-    of ids; each task holds the strings of about 4 MB of text at a time, or of one longer text.
+    of ids; each task holds the strings of about 4 MB of text at a time, or of one longer text, and a cache of bounded size
+    that ends with the task. The name of a special token in a text is that token, as in the library's plain call.
     """
     path = path or public_tokenizers.path(TOKENIZER_FILE)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -259,20 +298,20 @@ def write_token_files(
     schema = FILE_COLUMNS.format(kind=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _ENCODERS.setdefault(path, None) or WordEncoder(path)
-        _ENCODERS[path] = own
-        shard, place, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        own = encoder(path)
+        shard, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text")):
-                coded = [ids + end for ids in own.encode_many(texts)]
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
+                ids, sizes = own.encode_texts(texts)
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.uint64)
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                words, upto, starts = pack(np.frombuffer(b"".join(coded), "<u4").astype(np.uint64), ends)
+                words, upto, starts = pack(ids, ends)
                 data, blocks, begin = [], [], 0
                 for stop, first in zip(upto.tolist(), (ends - sizes).tolist(), strict=True):
                     data.append(words[begin:stop].tobytes())
-                    blocks.append((starts[begin:stop:BLOCK] - first).astype("<u8").tobytes())
+                    blocks.append(block_table(words[begin:stop], starts[begin:stop] - first).tobytes())
                     begin = stop
                 places = place + ends - sizes
                 place += int(ends[-1])
@@ -285,7 +324,7 @@ def write_token_files(
                         pa.array(data, pa.binary()),
                         pa.array(blocks, pa.binary()),
                     ],
-                    ["shard", "place", "doc_id", "n_tokens", "words", "block_words"],
+                    ["shard", "place", "doc_id", "n_tokens", "words", "blocks"],
                 )
                 at += len(texts)
 
