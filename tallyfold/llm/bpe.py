@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from tallyfold.llm.pretokens import MAX_CACHED_PIECE, pieces, room, slices
 
 # About 120 bytes each.
-MAX_CACHED_PAIRS = 250_000
+MAX_CACHED_PAIRS = 150_000
+# About 250 bytes each, in each of two caches.
+MAX_CACHED_WORDS = 150_000
+SLICE_BYTES = 2_000_000
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -200,7 +203,7 @@ class Encoder:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none of a null or empty text."""
         cut = [pieces(t or "") for t in texts]
-        words, matches, split = room(self.words), room(self.matches), self.pattern.findall
+        words, matches, split = self.words, room(self.matches, MAX_CACHED_WORDS), self.pattern.findall
         odd = {p for first, plain, uneven in cut for p in ([first] if uneven is None else uneven)}
         known = [list(map(words.get, plain)) if plain else [] for _, plain, _ in cut]
         missing = set()
@@ -223,6 +226,10 @@ class Encoder:
             out.append(own[first,] + b"".join(ids))
         for m in long:
             del matches[m]
+        if len(words) > MAX_CACHED_WORDS:
+            # Words that this run of texts found in the cache are the frequent ones and stay, if they leave room.
+            again = set(chain.from_iterable(plain or () for _, plain, _ in cut)).difference(missing)
+            self.words = {w: words[w] for w in again} if 2 * len(again) < MAX_CACHED_WORDS else {}
         return out
 
     def forget(self) -> None:
@@ -278,7 +285,7 @@ def encode_table(
         try:
             for batch in batches:
                 at = 0
-                for texts in slices(batch.column("_text")):
+                for texts in slices(batch.column("_text"), SLICE_BYTES):
                     ids = own.encode_many(texts)
                     columns = [batch.column(i).slice(at, len(texts)) for i in range(len(keep))]
                     columns += [

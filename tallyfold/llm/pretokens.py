@@ -30,20 +30,20 @@ def pieces(text: str) -> tuple[str, list[str] | None, list[str] | None]:
     return first, words, None
 
 
-def room(cache: dict) -> dict:
+def room(cache: dict, most: int = MAX_CACHED_PIECES) -> dict:
     """The cache, emptied when it is full, so that its memory is bounded."""
-    if len(cache) > MAX_CACHED_PIECES:
+    if len(cache) > most:
         cache.clear()
     return cache
 
 
-def slices(texts: pa.Array) -> Iterator[list[str | None]]:
-    """The texts of an Arrow batch in runs of about 4 MB, so that only a part of it is Python strings at a time."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch in runs of about ``most`` characters, so that only a part of it is Python strings at a time."""
     run, size = [], 0
     for value in texts:
         run.append(value.as_py())
         size += len(run[-1] or "")
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield run
             run, size = [], 0
     if run:
