@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +17,12 @@ def latest_rows(rows: DataFrame, key: str, order: Sequence[str], **summary: Colu
     """Exactly one row per non-null key: the largest by ``order``, with the aggregates ``summary`` of all its rows.
 
     A null stands before every value; among rows equal in ``order`` the larger hash of the whole row wins, and equal rows
-    count once. The winner is found on narrow columns with map-side aggregation and only then are the
-    wide rows filtered, so a key with very many rows is never gathered.
+    count once. The aggregate carries the winner's whole row, and each map task gives away only its own winner of each key: one
+    exchange, and at most one row per key and map task in it, however many rows a key has.
     """
-    place = [*order, "_tie"]
-    marked = rows.where(F.col(key).isNotNull()).withColumn("_tie", row_hash(rows))
-    last = marked.groupBy(key).agg(
-        F.max(F.struct(*place)).alias("_last"), *[value.alias(name) for name, value in summary.items()]
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], row_hash(rows).alias("tie"))
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(rows.columns)]
+    last = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(F.struct(*own), place).alias("_last"), *[value.alias(name) for name, value in summary.items()]
     )
-    winners = last.select(
-        F.col(key).alias("_key"), *[F.col(f"_last.{c}").alias(f"_at_{c}") for c in place], *summary
-    )
-    same = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place], F.col(key) == F.col("_key")
-    )
-    return marked.join(winners, same).dropDuplicates([key]).select(*rows.columns, *summary)
+    return last.select(*[F.col(f"_last.c{i}").alias(c) for i, c in enumerate(rows.columns)], *summary)

@@ -1,9 +1,8 @@
-"""Joins and ordered scans that stay balanced when one key holds a large share of the rows.
+"""Ordered scans that stay balanced when one key holds a large share of the rows.
 
-Both start from the same measurement: an exact count per key (partial aggregation, narrow rows).
-A key is *hot* when it holds more rows than one task should take and more than 1/MAX_HOT of the
-table, so there are fewer than MAX_HOT hot keys whatever the size of the data. That is the bound
-that makes the broadcasts below safe.
+They start from an exact count per key (partial aggregation, narrow rows). A key is *hot* when it holds more rows than
+one task should take, a constant. Hot keys stay a table; nothing here is collected or broadcast, however many there are.
+Joins need none of this: adaptive execution splits the partitions of a skewed key.
 """
 
 from __future__ import annotations
@@ -16,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .text import let
 
-MAX_HOT = 10_000
 ROWS_PER_TASK = 1_000_000
-SAMPLE = 0.02
 
 
 def task_rows(df: DataFrame) -> int:
@@ -33,7 +31,7 @@ def _columns(keys: str | Sequence[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Hot:
-    """The hot keys of a table: fewer than MAX_HOT values, or None when there are none.
+    """The hot keys of a table, or None when there are none.
 
     One measurement serves every later step on the same key, also after rows were filtered out:
     it only decides which plan a key takes, never the result.
@@ -43,27 +41,17 @@ class Hot:
     rows: int
     limit: int
 
-    def within(self, df: DataFrame, keys) -> Hot:
-        """The hot values of a finer key; there are none where the coarser key has none."""
-        return self if self.values is None else measure(df, keys)
 
-
-def measure(df: DataFrame, keys, fraction: float = 1.0) -> Hot:
-    """Find the hot keys of ``df`` by exact counts.
-
-    Where counting costs as much as the join itself, pass a sample of the rows and its ``fraction``.
-    """
+def measure(df: DataFrame, keys) -> Hot:
+    """Find the hot keys of ``df`` by exact counts; of the counts two numbers reach the driver."""
     keys = _columns(keys)
-    source = df.select(*keys)
-    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, top = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(int(task_rows(df) * fraction), (total or 0) // MAX_HOT, 1)
-    if (top or 0) <= limit:
+    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    limit = max(task_rows(df), 1)
+    large = F.when(F.col("_rows") > limit, F.col("_rows"))
+    held = counts.agg(F.sum(large)).first()[0]
+    if not held:
         return Hot(None, 0, limit)
-    rows = counts.where(F.col("_rows") > limit).collect()  # fewer than MAX_HOT rows, see above
-    held = int(sum(r["_rows"] for r in rows) / fraction)
-    values = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], source.schema)
-    return Hot(values, held, max(int(limit / fraction), 1))
+    return Hot(stored(counts.where(F.col("_rows") > limit).select(*keys), "hot-keys"), int(held), limit)
 
 
 def split(df: DataFrame, keys, hot: Hot) -> tuple[DataFrame, DataFrame | None]:
@@ -80,40 +68,27 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
 
 
 def _only(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(F.broadcast(hot), _null_safe(df, hot, keys), "left_semi")
+    return df.join(hot, _null_safe(df, hot, keys), "left_semi")
 
 
 def _without(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(F.broadcast(hot), _null_safe(df, hot, keys), "left_anti")
+    return df.join(hot, _null_safe(df, hot, keys), "left_anti")
 
 
-def lookup_join(
-    big: DataFrame, lookup: DataFrame, keys, how: str = "left", hot: Hot | None = None
-) -> DataFrame:
-    """Join ``big`` to a ``lookup`` holding at most one row per key.
+def dealt_anew(lookup: DataFrame, keys) -> DataFrame:
+    """The small side of a join whose other side may be skewed, to be dealt out by the join itself.
 
-    ``how`` is inner, left, left_semi or left_anti. Rows of hot keys meet the (fewer than MAX_HOT)
-    lookup rows of those keys by broadcast, where they already are; all others take the ordinary
-    join. Without hot keys this is just the ordinary join. Lookup rows are expected to be narrow.
+    Adaptive execution splits a skewed partition only between two exchanges of the join. A side that was grouped by the join's
+    keys would bring its own partitioning and no exchange; behind a lambda the keys are no longer known to be those.
     """
-    keys = _columns(keys)
-    if big.isStreaming:  # a stream-static join; a micro-batch cannot be counted ahead
-        return big.join(lookup, keys, how)
-    hot = hot or measure(big, keys)
-    cold, warm = split(big, keys, hot)
-    if warm is None:
-        return cold.join(lookup, keys, how)
-    hot_lookup = lookup.join(F.broadcast(hot.values.toDF(*keys)), keys, "left_semi")
-    return cold.join(lookup, keys, how).unionByName(
-        warm.join(F.broadcast(hot_lookup), keys, how)
-    )
+    return lookup.withColumns({k: let(F.col(k), lambda x: x) for k in _columns(keys)})
 
 
 class Running:
     """A running value over a key's ordered rows that can be carried from slice to slice."""
 
-    def __init__(self, inside: Callable, total: Callable, carry: Callable, merge: Callable):
-        self.inside, self.total, self.carry, self.merge = inside, total, carry, merge
+    def __init__(self, inside: Callable, total: Callable, carry: Callable, through: Callable, merge: Callable):
+        self.inside, self.total, self.carry, self.through, self.merge = inside, total, carry, through, merge
 
 
 def _up_to_here(window):
@@ -129,6 +104,7 @@ def running_sum(value: Column) -> Running:
         inside=lambda w: F.sum(value).over(_up_to_here(w)),
         total=lambda here: here,
         carry=lambda c, w: F.sum(c).over(_before(w)),
+        through=lambda c, w: F.sum(c).over(_up_to_here(w)),
         merge=lambda here, c, first: F.when(c.isNull(), here).otherwise(F.coalesce(here + c, c)),
     )
 
@@ -138,6 +114,7 @@ def running_max(value: Column) -> Running:
         inside=lambda w: F.max(value).over(_up_to_here(w)),
         total=lambda here: here,
         carry=lambda c, w: F.max(c).over(_before(w)),
+        through=lambda c, w: F.max(c).over(_up_to_here(w)),
         merge=lambda here, c, first: F.greatest(here, c),
     )
 
@@ -148,6 +125,7 @@ def running_last(value: Column) -> Running:
         inside=lambda w: F.last(value, ignorenulls=True).over(_up_to_here(w)),
         total=lambda here: here,
         carry=lambda c, w: F.last(c, ignorenulls=True).over(_before(w)),
+        through=lambda c, w: F.last(c, ignorenulls=True).over(_up_to_here(w)),
         merge=lambda here, c, first: F.coalesce(here, c),
     )
 
@@ -158,6 +136,7 @@ def previous(value: Column) -> Running:
         inside=lambda w: F.lag(value).over(w),
         total=lambda here: value,
         carry=lambda c, w: F.lag(c).over(w),
+        through=lambda c, w: c,
         merge=lambda here, c, first: F.when(first, c).otherwise(here),
     )
 
@@ -170,10 +149,11 @@ class OrderedRows:
     """Rows of each key in a total order, ready for running values.
 
     Ordinary keys use one window per key. The rows of hot keys are range-partitioned on
-    (keys, order) into slices of bounded size; running values are taken inside each slice, the
+    (keys, order) into slices of constant size, as many as it takes; running values are taken inside each slice, the
     last row of each slice gives its total, and the totals (at most one row per slice and key)
-    carry over. The slices are stored first, since a recomputed range partitioning may cut
-    elsewhere. ``order`` must be total: a tie would leave the order within a key open.
+    carry over. Where a table of totals is itself too long for one task it is carried in blocks, level by level. The slices
+    are stored first, since a recomputed range partitioning may cut elsewhere. ``order`` must be total: a tie would leave the
+    order within a key open.
     """
 
     def __init__(
@@ -190,8 +170,7 @@ class OrderedRows:
         self.heavy: DataFrame | None = None
         if slice_all:
             cores = df.sparkSession.sparkContext.defaultParallelism
-            slices = min(max(df.count() // task_rows(df) + 1, cores), MAX_HOT)
-            self.heavy = self._sliced(df, slices)
+            self.heavy = self._sliced(df, max(df.count() // task_rows(df) + 1, cores))
             return
         hot = hot or measure(df, self.keys)
         self.light, heavy = split(df, self.keys, hot)
@@ -199,6 +178,7 @@ class OrderedRows:
             self.heavy = self._sliced(heavy, hot.rows // hot.limit + 1)
 
     def _sliced(self, df: DataFrame, slices: int) -> DataFrame:
+        self.slices, self.limit = slices, max(task_rows(df), 2)
         keys = [F.col(k) for k in self.keys]
         ranged = df.repartitionByRange(slices, *keys, *self.order)
         return stored(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
@@ -231,19 +211,54 @@ class OrderedRows:
         totals = inside.where("_last").select(
             *place, *[r.total(F.col(n)).alias(f"_t_{n}") for n, r in running.items()]
         )
-        across = Window.partitionBy(*self.keys).orderBy("_slice")
-        carried = totals.select(
-            *[F.col(c).alias(f"_k_{c}") for c in place],
-            *[r.carry(F.col(f"_t_{n}"), across).alias(f"_c_{n}") for n, r in running.items()],
+        carried = self._carried(totals, "_slice", self.slices, running)
+        carried = carried.select(
+            *[F.col(c).alias(f"_k_{c}") for c in place], *[f"_c_{n}" for n in running]
         )
         same = reduce(
             lambda a, b: a & b, [inside[c].eqNullSafe(carried[f"_k_{c}"]) for c in place]
         )
-        merged = inside.join(F.broadcast(carried), same, "left").withColumns(
+        merged = inside.join(carried, same, "left").withColumns(
             {n: r.merge(F.col(n), F.col(f"_c_{n}"), F.col("_first")) for n, r in running.items()}
         )
         return merged.drop("_first", "_last", *carried.columns)
 
+    def _carried(
+        self, totals: DataFrame, at: str, places: int, running: dict[str, Running]
+    ) -> DataFrame:
+        """Keys, ``at`` and for each running value (total ``_t_``) what the places before it carry in (``_c_``).
+
+        ``at`` counts at most ``places`` places. Those of one block meet in one task; block totals are carried the same way.
+        """
+        if places <= self.limit:
+            across = Window.partitionBy(*self.keys).orderBy(at)
+            carries = {f"_c_{n}": r.carry(F.col(f"_t_{n}"), across) for n, r in running.items()}
+            return totals.withColumns(carries).select(*self.keys, at, *carries)
+        block = f"{at}_block"
+        inner = Window.partitionBy(*self.keys, block).orderBy(at)
+        blocks = totals.withColumn(block, F.call_function("div", F.col(at), F.lit(self.limit)).cast("int"))
+        blocks = blocks.withColumns(
+            {f"_c_{n}": r.carry(F.col(f"_t_{n}"), inner) for n, r in running.items()}
+            | {f"_u_{n}": r.through(F.col(f"_t_{n}"), inner) for n, r in running.items()}
+            | {"_begins": F.lag(F.lit(1)).over(inner).isNull(), "_ends": F.lead(F.lit(1)).over(inner).isNull()}
+        )
+        sums = blocks.where("_ends").select(
+            *self.keys, block, *[F.col(f"_u_{n}").alias(f"_t_{n}") for n in running]
+        )
+        above = self._carried(sums, block, places // self.limit + 1, running)
+        place = [*self.keys, block]
+        above = above.select(
+            *[F.col(c).alias(f"_a_{c}") for c in place], *[F.col(f"_c_{n}").alias(f"_b_{n}") for n in running]
+        )
+        same = reduce(lambda a, b: a & b, [blocks[c].eqNullSafe(above[f"_a_{c}"]) for c in place])
+        joined = blocks.join(above, same, "left").withColumns(
+            {
+                f"_c_{n}": r.merge(F.col(f"_c_{n}"), F.col(f"_b_{n}"), F.col("_begins"))
+                for n, r in running.items()
+            }
+        )
+        return joined.select(*self.keys, at, *[f"_c_{n}" for n in running])
+
     def rows(self) -> DataFrame:
         """All rows, in no particular order."""
         heavy = self.heavy.drop("_slice") if self.heavy is not None else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import SAMPLE, lookup_join, measure
+from ..functions.skew import dealt_anew
 from ..functions.text import let, word_runs, words
 from ..session import stored
 
@@ -24,9 +24,7 @@ def exact_copies(
         F.min(key).alias("original"), F.count(F.lit(1)).alias("n")
     )
     repeated = firsts.where("n > 1").select("digest", "original")
-    return lookup_join(digests, repeated, "digest", "inner").where(
-        F.col(key) != F.col("original")
-    ).select(key, "original")
+    return digests.join(dealt_anew(repeated, "digest"), "digest").where(F.col(key) != F.col("original")).select(key, "original")
 
 
 def _passages(text: Column, size: int) -> Column:
@@ -52,22 +50,22 @@ def passage_origins(
     """
     digests = text_digests(entries, key, body) if digests is None else digests
     firsts = digests.groupBy("digest").agg(F.min(key).alias(key)).select(key)
-    texts = entries.select(key, body).join(firsts, key, "left_semi")
-    hashed = texts.select(key, _passages(F.col(body), size).alias("all"))
+    # Texts are cut where they are read. A later copy of a text owns no passage, as the first one has a smaller key, so
+    # copies need not be dropped before the passages are shared out, and no text is ever shuffled.
+    hashed = entries.select(key, _passages(F.col(body), size).alias("all"))
     exploded = hashed.select(
         key, F.size("all").cast("long").alias("passages"), F.explode_outer("all").alias("hex")
     )
     # Read four times below, so hashed once: 16 bytes a passage instead of parsing texts again.
     rows = stored(exploded.select(key, "passages", F.unhex("hex").alias("passage")), "passages")
-    sizes = rows.groupBy(key).agg(F.max("passages").alias("passages"))
+    sizes = rows.groupBy(key).agg(F.max("passages").alias("passages")).join(firsts, key, "left_semi")
     passages = rows.select(key, "passage").where("passage is not null")
     owners = passages.groupBy("passage").agg(
         F.min(key).alias("owner"), F.count(F.lit(1)).alias("n")
     )
     # A passage of one entry owns itself and needs no join back.
     shared = owners.where("n > 1").select("passage", "owner")
-    hot = measure(passages.sample(SAMPLE, seed=7), "passage", SAMPLE)
-    met = lookup_join(passages, shared, "passage", "inner", hot=hot)
+    met = passages.join(dealt_anew(shared, "passage"), "passage")
     taken = met.where(F.col("owner") != F.col(key)).groupBy(key, "owner").agg(
         F.count(F.lit(1)).alias("shared")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.skew import OrderedRows, lookup_join, row_number
+from ..functions.skew import OrderedRows, dealt_anew, row_number
 
 # Criteria weights in percent; the tie is broken by impact.
 WEIGHTS = {"evidence": 30, "quality": 30, "impact": 25, "layout": 15}
@@ -103,7 +103,7 @@ def disqualify(
     user_id and reason (false identity, staff, relative); ``copied``: ref of entries found to be copied work.
     Details are to be corrected within seven days and before the round ``closes``.
     """
-    same = lookup_join(accounts, shared_contacts(accounts, key), key, "left_semi")
+    same = accounts.join(dealt_anew(shared_contacts(accounts, key), key), key, "left_semi")
     several = same.select("user_id").distinct().withColumn("_several", F.lit("several accounts"))
     deadline = F.date_add(F.col("notified_at").cast("date"), CORRECTION_DAYS)
     if closes is not None:
@@ -130,7 +130,7 @@ def award_deadlines(cases: DataFrame, rounds: DataFrame, asof: Column | str) ->
     ``rounds``: round, closes_on. Documents that come after their deadline forfeit the prize.
     """
     today = F.to_date(F.lit(asof)) if isinstance(asof, str) else asof
-    known = lookup_join(cases, rounds.select("round", "closes_on"), "round")
+    known = cases.join(rounds.select("round", "closes_on"), "round", "left")
     known = known.withColumns(
         {
             # ``least`` skips nulls, but without a notice there is nothing to correct.

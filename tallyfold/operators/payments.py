@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.skew import (
     Hot,
     OrderedRows,
-    lookup_join,
+    dealt_anew,
     measure,
     previous,
     row_number,
@@ -50,7 +50,7 @@ def resolve_object(events: DataFrame, payments: DataFrame, invoices: DataFrame)
 
     One notice may be redelivered any number of times, so the event side can be skewed.
     """
-    return lookup_join(events, billing_objects(payments, invoices), "object_id")
+    return events.join(dealt_anew(billing_objects(payments, invoices), "object_id"), "object_id", "left")
 
 
 def classify_events(
@@ -67,9 +67,8 @@ def classify_events(
     The stored reference joins the objects, which are unique by id, before they meet the events.
     """
     stored = subs.select("user_id", F.col("provider_ref").alias("_stored"))
-    hot = measure(payments.select("user_id").unionByName(invoices.select("user_id")), "user_id")
-    objects = lookup_join(billing_objects(payments, invoices), stored, "user_id", hot=hot)
-    known = lookup_join(events, objects, "object_id")
+    objects = billing_objects(payments, invoices).join(stored, "user_id", "left")
+    known = events.join(objects, "object_id", "left")
     wrong_token = F.lit(False) if not token else ~F.col("secret_token").eqNullSafe(F.lit(token))
     outcome = (
         F.when(wrong_token, "bad_token")
@@ -126,7 +125,7 @@ def mark_replays(
         repeated = F.col("_n") > 1
         if stored is not None:
             known = stored.select(user, F.col("provider_ref").alias(ref), F.lit(True).alias("_known"))
-            rows = lookup_join(rows, known.where(F.col(ref).isNotNull()), [user, ref])
+            rows = rows.join(known.where(F.col(ref).isNotNull()), [user, ref], "left")
             repeated = repeated | F.col("_known").isNotNull()
         return rows.select(*events.columns, repeated.alias("repeated"))
     hot = hot or measure(events, user)
@@ -135,7 +134,7 @@ def mark_replays(
     before = F.col("_before")
     if stored is not None:
         known = stored.select(user, F.col("provider_ref").alias("_stored"))
-        rows = lookup_join(rows, known, user, hot=hot)
+        rows = rows.join(known, user, "left")
         before = F.when(F.col("_n") == 1, F.col("_stored")).otherwise(before)
     return rows.select(*events.columns, before.eqNullSafe(F.col(ref)).alias("repeated"))
 
@@ -165,7 +164,7 @@ def stack_periods(
     hot = hot or measure(paid, user)
     if current is not None:
         ends = current.select(user, F.col("expires_at").alias("_current"))
-        paid = lookup_join(paid, ends, user, hot=hot)
+        paid = paid.join(ends, user, "left")
     else:
         paid = paid.withColumn("_current", F.lit(None).cast("timestamp"))
     if year == "calendar":

@@ -11,7 +11,6 @@ from ..functions.calendar import add_business_days
 from ..functions.skew import (
     Hot,
     OrderedRows,
-    lookup_join,
     measure,
     previous,
     running_sum,
@@ -43,10 +42,9 @@ def refund_decision(payments: DataFrame, requests: DataFrame, exports: DataFrame
         F.coalesce(F.bool_or("complete"), F.lit(False)).alias("_exported"),
         F.coalesce(F.bool_or("broken"), F.lit(False)).alias("_broken"),
     )
-    hot = measure(requests, "payment_id")
     paid = payments.select("payment_id", "paid_on")
-    known = lookup_join(requests, paid, "payment_id", hot=hot)
-    known = lookup_join(known, made, "payment_id", hot=hot)
+    known = requests.join(paid, "payment_id", "left")
+    known = known.join(made, "payment_id", "left")
     decision = (
         F.when(F.col("paid_on").isNull(), "unknown_payment")
         .when(F.col("requested_on") < F.col("paid_on"), "invalid")
@@ -68,9 +66,8 @@ def late_remedies(
     ``outages``: user_id, outage_days (longest unbroken outage). Nothing is due after a violation.
     """
     price = (F.lit(price) if isinstance(price, int) else price).cast("long")
-    hot = measure(requests, "user_id")
-    known = lookup_join(requests, subs.select("user_id", "expires_on"), "user_id", hot=hot)
-    known = lookup_join(known, outages.select("user_id", "outage_days"), "user_id", hot=hot)
+    known = requests.join(subs.select("user_id", "expires_on"), "user_id", "left")
+    known = known.join(outages.select("user_id", "outage_days"), "user_id", "left")
     remedy = F.lit("none")
     for cause, offered in CAUSE_REMEDY.items():
         remedy = F.when(F.col("cause") == cause, offered).otherwise(remedy)
@@ -166,32 +163,38 @@ def with_length(runs: DataFrame) -> DataFrame:
 def extend_for_outage(subs: DataFrame, found: DataFrame, key: str = "service") -> DataFrame:
     """Add ``extension_ms`` and the extended ``expires_ms`` for outages inside a subscription.
 
-    ``subs``: key, starts_ms, expires_ms; ``found``: key, started_at, ended_at. Outages of one
-    service do not overlap and each lasts more than ``min_days``, so a service has at most its
-    years of service times 365 / min_days of them; that small list travels to the subscriptions.
+    ``subs``: key, starts_ms, expires_ms; ``found``: key, started_at, ended_at. The time lost until a moment is a running
+    total over the edges of a service's outages, so a subscription loses the difference between its end and its start. Each
+    asked moment of a service is computed once; no list of outages is gathered. A subscription without a start begins before all
+    outages, one without an end loses all that follow its start.
     """
-    edges = F.array_sort(
-        F.collect_list(
-            F.struct(
-                F.unix_millis(F.col("started_at").cast("timestamp")).alias("a"),
-                F.unix_millis(F.col("ended_at").cast("timestamp")).alias("b"),
-            )
-        )
-    )
-    listed = found.groupBy(key).agg(edges.alias("_outages"))
-    known = lookup_join(subs, listed, key)
-    overlaps = F.transform(
-        "_outages",
-        lambda o: F.greatest(
-            F.least(o["b"], F.col("expires_ms")) - F.greatest(o["a"], F.col("starts_ms")),
-            F.lit(0).cast("long"),
-        ),
+    never = F.lit(1 << 62).cast("long")
+    starts, ends = F.coalesce("starts_ms", -never), F.coalesce("expires_ms", never)
+    a = F.unix_millis(F.col("started_at").cast("timestamp"))
+    b = F.unix_millis(F.col("ended_at").cast("timestamp"))
+    one, nothing = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # An open outage adds the time since its start, a closed one its length.
+    opened = F.struct(a.alias("at"), one.alias("open"), a.alias("since"), nothing.alias("closed"))
+    closed = F.struct(b.alias("at"), (-one).alias("open"), (-a).alias("since"), (b - a).alias("closed"))
+    edges = found.select(key, F.inline(F.array(opened, closed))).withColumn("asked", F.lit(False))
+    moments = subs.select(key, F.explode(F.array(starts, ends)).alias("at")).distinct()
+    line = moments.select(key, "at", *[nothing.alias(c) for c in ("open", "since", "closed")], F.lit(True).alias("asked"))
+    names = ("open", "since", "closed")
+    totals = {f"_{c}": running_sum(F.col(c)) for c in names}
+    # At one moment any order of the edges gives the same time lost.
+    scan = OrderedRows(line.unionByName(edges), key, ["at", "asked", *names]).add(**totals).rows().where("asked")
+    lost = F.col("_closed") + F.when(F.col("_open") == 0, nothing).otherwise(F.col("_open") * F.col("at") - F.col("_since"))
+    known = scan.select(key, "at", lost.alias("_lost"))
+    first = known.select(key, F.col("at").alias("_from"), F.col("_lost").alias("_before"))
+    last = known.select(key, F.col("at").alias("_to"), F.col("_lost").alias("_after"))
+    joined = (
+        subs.withColumns({"_from": starts, "_to": ends}).join(first, [key, "_from"], "left").join(last, [key, "_to"], "left")
     )
-    lost = F.aggregate(overlaps, F.lit(0).cast("long"), lambda a, b: a + b)
+    extension = F.coalesce(F.greatest(F.col("_after") - F.col("_before"), nothing), nothing)
     return (
-        known.withColumn("extension_ms", F.coalesce(lost, F.lit(0).cast("long")))
+        joined.withColumn("extension_ms", extension)
         .withColumn("expires_ms", F.col("expires_ms") + F.col("extension_ms"))
-        .drop("_outages")
+        .select(*subs.columns, "extension_ms")
     )
 
 

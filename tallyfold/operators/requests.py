@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join
+from ..functions.skew import dealt_anew
 from ..functions.text import strip_space
 
 # Token limits of a request and the largest body a server takes.
@@ -40,7 +40,7 @@ def build_chat_requests(
     size = F.octet_length("role") + F.octet_length("text")
     sizes = turns.groupBy(key).agg(F.sum(size.cast("long")).alias("_bytes"))
     large = sizes.where(F.col("_bytes") > max_body).select(key)
-    fitting = lookup_join(turns, large, key, "left_anti")
+    fitting = turns.join(dealt_anew(large, key), key, "left_anti")
     message = F.struct(*order, "role", F.col("text").alias("content"))
     gathered = fitting.groupBy(key).agg(F.array_sort(F.collect_list(message)).alias("_m"))
     messages = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
@@ -51,7 +51,7 @@ def build_chat_requests(
             F.coalesce("max_tokens", F.lit(float(DEFAULT_TOKENS))).alias("max_tokens"),
             messages.alias("messages"),
         ),
-        "oversize": lookup_join(turns, large, key, "left_semi"),
+        "oversize": turns.join(dealt_anew(large, key), key, "left_semi"),
         "empty": limits.join(turns.select(key).distinct(), key, "left_anti"),
     }
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join
 
 
 def lookup(df: DataFrame, keys, cols: Sequence[str], key: str) -> DataFrame:
@@ -15,7 +14,7 @@ def lookup(df: DataFrame, keys, cols: Sequence[str], key: str) -> DataFrame:
     if isinstance(keys, DataFrame):
         wanted = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
         narrow = df.select(*dict.fromkeys([*cols, key]))
-        return lookup_join(narrow, wanted, key, "left_semi").select(*cols)
+        return narrow.join(wanted, key, "left_semi").select(*cols)
     return df.where(F.col(key) == F.lit(keys)).select(*cols)
 
 
@@ -24,7 +23,7 @@ def visible_rows(df: DataFrame, principals: DataFrame, policy: str | None) -> Da
     if policy is None:
         return df.limit(0)
     callers = principals.select(F.col(principals.columns[0]).alias(policy)).distinct()
-    return lookup_join(df, callers, policy, "left_semi").select(*df.columns)
+    return df.join(callers, policy, "left_semi").select(*df.columns)
 
 
 def write_allowed(policies: Mapping[str, str], operation: str = "operation", caller: str = "caller") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.latest import latest_rows
-from ..functions.skew import OrderedRows, lookup_join, measure, previous, row_number
+from ..functions.skew import OrderedRows, dealt_anew, previous, row_number
 
 
 def replay_versions(
@@ -58,12 +58,11 @@ def stale_writes(
     A write follows its own device's last write exactly when the write before it came from the
     same device, so only the previous row and the first write of each device are needed.
     """
-    hot = measure(changes, key)
     running = {"version": row_number(), "_before": previous(F.col(device))}
-    rows = OrderedRows(changes, key, order, hot).add(**running).rows()
+    rows = OrderedRows(changes, key, order).add(**running).rows()
     first = changes.groupBy(key, device).agg(F.min(F.struct(*order)).alias("_start"))
     pair = [key, device]
-    known = lookup_join(rows, first, pair, hot=hot.within(changes, pair))
+    known = rows.join(dealt_anew(first, pair), pair, "left")
     stale = (F.struct(*order) > F.col("_start")) & ~F.col("_before").eqNullSafe(F.col(device))
     return known.withColumn("stale", stale).drop("_before", "_start")
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.latest import latest_rows
-from ..functions.skew import lookup_join
 from ..functions.text import clipped, json_number, lenient_int, string_items, strip_space
 from ..session import stored
 from .privacy import any_pii
@@ -58,7 +57,7 @@ def decide_submissions(
     if "text_chars" not in given:
         subs = body_facts(subs)
     terms = rounds.select("round", F.col("open").alias("_open"), F.col("closes_at").alias("_closes"))
-    known = lookup_join(subs, terms, "round")
+    known = subs.join(terms, "round", "left")
     closes = F.try_to_timestamp(F.col("_closes"))
     enough = F.lit(True)
     for name, least in min_stats.items():
@@ -84,7 +83,7 @@ def decide_submissions(
 def normalise_submissions(subs: DataFrame, users: DataFrame) -> DataFrame:
     """Accepted submissions in stored form: cut texts, lenient integers, string-only suspects."""
     accounts = users.select(F.col("id").alias("user_id"), F.col("email").alias("_email"))
-    known = lookup_join(subs, accounts, "user_id")
+    known = subs.join(accounts, "user_id", "left")
     bodies = [c for c in ("html", "text_chars", "leaked", DELIVERY) if c in subs.columns]
     teacher = F.col("teacher")
     email = F.coalesce(F.nullif(teacher["email"], F.lit("")), F.col("_email"))
@@ -116,7 +115,7 @@ def triage(
     leaked = F.col("leaked") if "leaked" in entries.columns else any_pii(F.col(body))
     review = (F.coalesce(F.size("suspects"), F.lit(0)) > 0) | leaked
     return (
-        lookup_join(entries.withColumn("_review", review), before, key)
+        entries.withColumn("_review", review).join(before, key, "left")
         .withColumns(
             {
                 "status": F.when(F.col("_review"), "needs_review").otherwise("received"),

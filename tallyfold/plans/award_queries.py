@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join
 from ..functions.text import words
 from ..operators.copies import exact_copies, passage_origins
 from ..operators.judging import (
@@ -308,6 +307,55 @@ def a8_restore(t: Tables) -> DataFrame:
     return back.select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
+def phrase_roster(t: Tables) -> DataFrame:
+    """Names of one to five words per conversation, cut out of its turns, with two blanks between their words."""
+    first = t.conversations.select("conv_id", "turn", words(F.col("text")).alias("w"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.slice("w", 5 * n + 1, n))
+    names = first.select("conv_id", F.explode(F.filter(cut, lambda c: F.size(c) > 0)).alias("c"))
+    named = names.where(F.array_join("c", " ").rlike(r"\p{L}"))
+    return stored(named.select("conv_id", F.array_join("c", "  ").alias("name")).distinct(), "phrase-roster")
+
+
+NAMES_SQL = rf"""turns as (select conv_id, turn, text, regexp_extract_all(text, '{WORD_RE2}+') as w,
+                 regexp_extract_all(text, '{WORD_RE2}+|[^\p{{L}}\p{{M}}\p{{N}}]+') as p from conversations),
+cuts as (select conv_id, w[5 * n + 1 : 5 * n + n] as c from turns, (select unnest([1, 2, 3, 4, 5]) as n)),
+roster as (select distinct conv_id, list_aggregate(c, 'string_agg', '  ') as name, list_aggregate(c, 'string_agg', ' ') as words from cuts
+           where len(c) > 0 and regexp_matches(list_aggregate(c, 'string_agg', ' '), '\p{{L}}')),
+codes as (select conv_id, words, row_number() over (partition by conv_id order by name, words) as number,
+                 len(string_split(words, ' ')) as n from roster),
+spots as (select conv_id, turn, w, unnest(range(0, len(w))) as i from turns),
+hits as (select a.conv_id, a.turn, i, max_by([i, n, number], n) as h from spots a join codes c
+         on c.conv_id = a.conv_id and list_aggregate(a.w[i + 1 : i + n], 'string_agg', ' ') = c.words and i + n <= len(w) group by 1, 2, 3),
+kept as (select conv_id, turn, list_reduce(list(h order by i),
+           lambda x, y: case when y[1] >= x[len(x) - 2] + x[len(x) - 1] then list_concat(x, y) else x end) as k from hits group by 1, 2),
+steps as (select conv_id, turn, unnest(range(0, len(k) // 3)) as j, k from kept),
+gone as (select conv_id, turn, k[3 * j + 1] as i, k[3 * j + 2] as n, k[3 * j + 3] as number from steps),
+piece as (select conv_id, turn, unnest(p) as piece, generate_subscripts(p, 1) as pos,
+                 case when regexp_matches(p[1], '^{WORD_RE2}') then 0 else 1 end as lead from turns),
+place as (select *, pos - 1 - lead as q from piece)"""
+
+
+@query(
+    "a8_pseudonymise_names",
+    f"""with {NAMES_SQL}
+select c.conv_id, c.turn, cast(coalesce((select len(k) // 3 from kept k where k.conv_id = c.conv_id and k.turn = c.turn), 0) as integer) as replaced,
+       md5(coalesce(string_agg(case when g.i is null then piece when q = 2 * g.i then 'طالب ' || g.number else '' end, '' order by pos), '')) as digest
+from conversations c left join place p on p.conv_id = c.conv_id and p.turn = c.turn
+left join gone g on g.conv_id = p.conv_id and g.turn = p.turn and q >= 2 * g.i and q <= 2 * (g.i + g.n) - 2
+group by 1, 2""",
+)
+def a8_names(t: Tables) -> DataFrame:
+    done = pseudonymise(t.conversations, phrase_roster(t), "conv_id", ["conv_id", "turn"])
+    return done["docs"].select("conv_id", "turn", "replaced", F.md5("text").alias("digest"))
+
+
+@query("a8_restore_names", "select conv_id, turn, md5(text) as digest from conversations")
+def a8_restore_names(t: Tables) -> DataFrame:
+    key = ["conv_id", "turn"]
+    done = pseudonymise(t.conversations, phrase_roster(t), "conv_id", key)
+    return restore(done["docs"], done["map"], "conv_id", key).select(*key, F.md5("text").alias("digest"))
+
+
 @query(
     "a9_mask_pii",
     rf"""select doc_id, cast(len(regexp_extract_all(text, '{ANY_RE}')) as integer) as masked,

@@ -99,6 +99,7 @@ def process_submissions(
     triaged = triage(normal.join(numbers, "user_id"), previous)
     bodies = subs.select("user_id", DELIVERY, "html")
     complete = triaged.drop("text_chars", "leaked").join(bodies, ["user_id", DELIVERY])
-    complete = complete.dropDuplicates(["user_id"])  # the same delivery twice
+    # The same delivery twice; these keys are those of the join, so nothing moves again.
+    complete = complete.dropDuplicates(["user_id", DELIVERY])
     tables = split_identity(complete.drop("reset", DELIVERY), ENTRANT_COLUMNS)
     return {"decided": decided.drop(DELIVERY), "triaged": triaged.drop(DELIVERY), **tables}

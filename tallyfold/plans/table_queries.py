@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join
 from ..operators.constraints import audit_domains, audit_keys, judging_view
 from ..operators.rows import check_writes, lookup, visible_rows
 from ..session import scratch_path
@@ -19,6 +18,7 @@ from ..sources.export import (
     write_snapshot,
 )
 from ..sources.reconcile import export_totals, reconcile
+from ..sources.snapshots import verify_set, write_set
 from ..sources.tables import read_typed
 from .registry import Tables, query
 
@@ -145,6 +145,27 @@ def s5(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "s5_snapshot_sets",
+    """select 'first' as asof, 'customer' as table_name, count(*) as expected, count(*) as found from customer
+       union all select 'first', 'orders', count(*), count(*) from orders
+       union all select 'last', 'customer', count(*), count(*) from customer where c_acctbal >= 0
+       union all select 'last', 'orders', count(*), count(*) from orders where o_orderstatus <> 'P'""",
+)
+def s5_sets(t: Tables) -> DataFrame:
+    base = scratch_path(t.spark, "sets")
+    write_set({"customer": t.customer, "orders": t.orders}, base, "20240101-000000")
+    later = {"customer": t.customer.where("c_acctbal >= 0"), "orders": t.orders.where("o_orderstatus <> 'P'")}
+    write_set(later, base, "20240102-000000")
+    found = None
+    for name, asof in (("first", "20240101-235959"), ("last", None)):
+        one = verify_set(t.spark, base, asof).select(
+            F.lit(name).alias("asof"), F.col("table").alias("table_name"), "expected", "found"
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query(
     "s6_expired_snapshots",
     """select cast(d as varchar) as stamp
@@ -198,7 +219,7 @@ def f3(t: Tables) -> DataFrame:
     )
     owners = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag")
-    owned = lookup_join(lines, owners, "l_orderkey")
+    owned = lines.join(owners, "l_orderkey", "left")
     changes = owned.select(
         "l_orderkey",
         F.col("o_custkey").alias("user_id"),

@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A skewed side of a join is split even where that costs another shuffle afterwards.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sessions of a stream are merged in each map task before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -228,7 +228,7 @@ def test_pseudonyms(spark):
     assert got[3] == ("طالب 8 here is another pupil; طالب 7 was here.", 1)
     assert got[4] == ("طالب 9 يكتب ومحمد يقرأ، طالب 9!", 2)
     assert got[5] == ("nobody listed", 0)
-    assert got[6] == ("Abu  Bakr and طالب 1 (a+b)", 1)
+    assert got[6] == ("طالب 1 and طالب 1 (a+b)", 2)  # two blanks are no other name
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
