@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators.copies import exact_copies, passage_origins
+from ..operators.copies import exact_copies, find_copies, passage_origins
 from ..operators.judging import (
     award_deadlines,
     award_prizes,
@@ -532,6 +532,42 @@ def j5_near(t: Tables) -> DataFrame:
     return origins.withColumn("source", F.coalesce("source", F.lit(-1).cast("long")))
 
 
+@query(
+    "j4_disqualify_copies",
+    f"""with {PASSAGES_SQL},
+copies as (
+  select doc_id from (select doc_id, min(doc_id) over (partition by sha256(text)) as first from documents) where doc_id <> first
+  union select doc_id from sizes join best using (doc_id) where copied >= passages * 0.5),
+judged as (
+  select doc_id as user_id, cast(doc_id as varchar) as ref, concat_ws(';',
+    case when doc_id % 10 = 0 and date '2024-01-01' + cast(doc_id % 13 as integer)
+              > least(date '2024-01-01' + 7, date '2024-01-06' + cast(doc_id % 3 as integer)) then 'details not corrected' end,
+    case when doc_id % 50 = 7 then 'relative' end,
+    case when doc_id in (select doc_id from copies) then 'copied work' end) as reasons
+  from documents)
+select * from judged where reasons <> ''""",
+)
+def j4_copies(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    entries = docs.select(F.col("doc_id").alias("user_id"), F.col("doc_id").cast("string").alias("ref"))
+    found = find_copies(docs, "doc_id", "text")
+    copied = found["exact"].select("doc_id").unionByName(found["near"].select("doc_id"))
+    start = F.lit("2024-01-01").cast("date")
+    closes = F.date_add(F.lit("2024-01-06").cast("date"), (F.col("ref").cast("long") % 3).cast("int"))
+    notices = docs.where("doc_id % 10 = 0").select(
+        F.col("doc_id").cast("string").alias("ref"),
+        start.alias("notified_at"),
+        F.date_add(start, (F.col("doc_id") % 13).cast("int")).alias("corrected_at"),
+    )
+    nobody = docs.select(F.col("doc_id").alias("user_id"), F.col("doc_id").cast("string").alias("contact"))
+    blocked = docs.where("doc_id % 50 = 7").select(F.col("doc_id").alias("user_id"), F.lit("relative").alias("reason"))
+    out = disqualify(
+        entries, nobody, notices, blocked, F.lit("2024-02-01").cast("date"), closes=closes,
+        copied=copied.select(F.col("doc_id").cast("string").alias("ref")),
+    )
+    return out.withColumn("reasons", F.array_join("reasons", ";"))
+
+
 @query(
     "j6_award_deadlines",
     """with c as (

@@ -17,7 +17,7 @@ from ..sources.export import (
     write_export,
     write_snapshot,
 )
-from ..sources.reconcile import export_totals, reconcile
+from ..sources.reconcile import export_report, export_totals, reconcile
 from ..sources.snapshots import verify_set, write_set
 from ..sources.tables import read_typed
 from .registry import Tables, query
@@ -117,12 +117,34 @@ def s4(t: Tables) -> DataFrame:
 @query(
     "s4_export_totals",
     """select count(*) as rows, cast(sum(octet_length(encode(cast(to_json(
-                {'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,
+                {'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal,
                  'c_mktsegment': c_mktsegment}) as varchar)))) as bigint) as bytes
        from customer""",
 )
 def s4_totals(t: Tables) -> DataFrame:
-    return export_totals(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return export_totals(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+def _object_totals_sql(name: str, columns: str) -> str:
+    fields = ", ".join(f"'{c}': {c}" for c in columns.split())
+    return f"""select '{name}' as object, count(*) as rows,
+       cast(sum(octet_length(encode(cast(to_json({{{fields}}}) as varchar)))) as bigint) as bytes from {name}"""
+
+
+# Every object of an export in one report.
+EXPORTED = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "nation": "n_nationkey n_name n_regionkey",
+    "region": "r_regionkey r_name",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "labels": "doc_id quality toxic",
+}
+
+
+@query("s4_export_report", " union all ".join(_object_totals_sql(n, c) for n, c in EXPORTED.items()))
+def s4_report(t: Tables) -> DataFrame:
+    return export_report({name: getattr(t, name).select(*columns.split()) for name, columns in EXPORTED.items()})
 
 
 @query(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ def export_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def export_report(objects: Mapping[str, DataFrame]) -> DataFrame:
+    """object, rows and bytes of every object of an export, in one result."""
+    totals = [export_totals(df).select(F.lit(name).alias("object"), "rows", "bytes") for name, df in objects.items()]
+    return reduce(DataFrame.unionByName, totals)
+
+
 def reconcile(source: DataFrame, exported: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Keys that differ, with ``status`` missing, extra or changed.
 
