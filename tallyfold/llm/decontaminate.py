@@ -3,16 +3,18 @@
 The test items are the indexed collection, and every passage of every document is a query. A term's weight for an item is its
 BM25 part divided by the item's score for itself, so an item found whole scores 1 and one threshold suits all items.
 Passages are runs of words that overlap by half and are at least twice as long as the longest item, so any
-item lies whole in one of them. Items are in blocks, and for each term and block the largest weight is known. The sums of these
-over a passage's terms bound the scores in each block; where the bound reaches the threshold, WAND goes through the postings
-of the block and skips the items that the largest weights of the terms at hand cannot lift to it. What is retrieved is then verified:
-enough of the question's and of the answer's word runs must stand in the passage.
+item lies whole in one of them. Items are in blocks, and each term knows the largest weight in every block it occurs in. Terms whose
+largest weights together stay under the threshold lift no item to it alone, so only blocks of the other terms are looked at.
+There the sums of block maxima bound the scores; where the bound reaches the threshold, WAND goes through the postings of the
+block and skips the items that the terms at hand cannot lift to it. What is retrieved is then verified: the question's and the
+answer's words must stand in the passage in order, each side with few enough words changed, left out or put in between.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -28,13 +30,12 @@ from tallyfold.llm.pretokens import slices
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 MIN_OVERLAP = 0.6
-RUN = 5
 BLOCK = 4
 MIN_PASSAGE = 128
 PASSAGES_AT_ONCE = 256
 SLACK = 1e-5
 # One index holds items of about this many characters; more items make more indexes, and as many passes over the documents.
-MAX_INDEX_CHARS = 500_000
+MAX_INDEX_CHARS = 20_000_000
 WORD = re.compile(r"\w+")
 
 
@@ -53,8 +54,11 @@ def question_and_answer(text: Column) -> tuple[Column, Column]:
 class Posting:
     """One term's items in ascending order and their weights."""
 
-    items: list[int]
-    weights: list[float]
+    items: array
+    weights: array
+    blocks: array
+    block_max: array
+    most: float
 
 
 class Index:
@@ -62,9 +66,9 @@ class Index:
 
     def __init__(self, items: list[tuple], frequency: dict[str, int], total: int, mean_length: float):
         self.ids = [i for i, _, _ in items]
-        self.runs = [(_runs(q), _runs(a)) for _, q, a in items]
         self.longest = max((len(q) + len(a) for _, q, a in items), default=0)
-        postings: dict[str, list[tuple[int, float]]] = {}
+        self.n_blocks = -(-len(items) // BLOCK)
+        postings: dict[str, tuple[array, array]] = {}
         for at, (_, q, a) in enumerate(items):
             counts = Counter(q + a)
             norm = K1 * (1 - B + B * (len(q) + len(a)) / max(mean_length, 1e-9))
@@ -74,24 +78,78 @@ class Index:
             }
             whole = sum(parts.values())
             for t, part in parts.items():
-                postings.setdefault(t, []).append((at, part / whole))
-        self.postings = [Posting([i for i, _ in p], [w for _, w in p]) for p in postings.values()]
+                own = postings.setdefault(t, (array("i"), array("d")))
+                own[0].append(at)
+                own[1].append(part / whole)
         self.term_at = {t: k for k, t in enumerate(postings, 1)}
-        # Row 0 is for words that are in no item; a column is a block of items.
-        self.block_max = np.zeros((len(postings) + 1, -(-len(items) // BLOCK)), np.float32)
-        for k, p in enumerate(self.postings, 1):
-            np.maximum.at(self.block_max[k], np.array(p.items) // BLOCK, np.array(p.weights, np.float32))
+        self.postings = [self._posting(*own) for own in postings.values()]
+        # The largest weight of each term; number 0 is for words that are in no item.
+        self.most = np.array([0.0, *(p.most for p in self.postings)])
+        # The blocks of all terms in a row.
+        sizes = np.array([0, *(len(p.blocks) for p in self.postings)], np.int64)
+        self.block_ends = np.cumsum(sizes)
+        self.block_sizes = sizes
+        self.block_at = np.concatenate([np.zeros(0, np.int64), *(np.array(p.blocks, np.int64) for p in self.postings)])
+        self.block_max = np.concatenate([np.zeros(0), *(np.array(p.block_max) for p in self.postings)])
+        # The words of each side, by number.
+        self.sides = [tuple(np.array([self.term_at[t] for t in side], np.int64) for side in own) for _, *own in items]
+
+    @staticmethod
+    def _posting(items: array, weights: array) -> Posting:
+        blocks, most = array("i"), array("d")
+        for item, weight in zip(items, weights, strict=True):
+            if not blocks or blocks[-1] != item // BLOCK:
+                blocks.append(item // BLOCK)
+                most.append(weight)
+            elif weight > most[-1]:
+                most[-1] = weight
+        return Posting(items, weights, blocks, most, max(most))
+
+    def candidates(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs, in order, whose summed block maxima reach the threshold.
+
+        ``passage`` and ``term`` are distinct pairs of numbers, ordered by passage.
+        """
+        enough = threshold - SLACK
+        # In each passage the terms of small weight that cannot reach the threshold together are not essential.
+        order = np.lexsort((self.most[term], passage))
+        passage, term = passage[order], term[order]
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        sums = np.cumsum(self.most[term])
+        before = np.repeat(sums[starts] - self.most[term[starts]], np.diff(starts, append=len(term)))
+        essential = sums - before >= enough
+        none = np.zeros(0, np.int64)
+        if not essential.any():
+            return none, none
+
+        def spread(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sizes = self.block_sizes[term[which]]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            at = np.arange(total) + np.repeat(self.block_ends[term[which]] - ends, sizes)
+            return np.repeat(passage[which], sizes) * self.n_blocks + self.block_at[at], self.block_max[at]
+
+        wanted = np.unique(spread(np.flatnonzero(essential))[0])
+        # Only passages with an essential term are summed up.
+        some = np.isin(passage, wanted // self.n_blocks)
+        pairs, weights = spread(np.flatnonzero(some))
+        place = np.searchsorted(wanted, pairs)
+        place[place == len(wanted)] = 0
+        hit = wanted[place] == pairs
+        bound = np.bincount(place[hit], weights[hit], len(wanted))
+        found = wanted[bound >= enough]
+        return found // self.n_blocks, found % self.n_blocks
 
     def search(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """Items of one block, and scores, at or above the threshold, by WAND."""
         begin, end = block * BLOCK, (block + 1) * BLOCK
         cursors = []
         for t in terms:
-            most = float(self.block_max[t, block])
-            if most:
-                p = self.postings[t - 1]
+            p = self.postings[t - 1]
+            k = bisect_left(p.blocks, block)
+            if k < len(p.blocks) and p.blocks[k] == block:
                 at = bisect_left(p.items, begin)
-                cursors.append([p.items[at], at, p, most])
+                cursors.append([p.items[at], at, p, p.block_max[k]])
         out, enough = [], threshold - SLACK
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -118,21 +176,18 @@ class Index:
         return out
 
 
-def _runs(terms: list[str]) -> set[tuple[str, ...]]:
-    """Runs of ``RUN`` terms; of a shorter text its whole."""
-    if len(terms) < RUN:
-        return {tuple(terms)} if terms else set()
-    return set(zip(*(terms[k:] for k in range(RUN)), strict=False))
-
-
-def _overlap(wanted: set[tuple[str, ...]], terms: list[str], have: set[tuple[str, ...]]) -> float:
-    """The share of the wanted runs that stand in the terms; an empty side counts as found."""
-    if not wanted:
+def overlap(side: np.ndarray, passage: np.ndarray) -> float:
+    """1 less the share of words that must be changed, left out or put in for the side to stand in the passage; an empty side is found."""
+    if not len(side):
         return 1.0
-    size = len(next(iter(wanted)))
-    if size < RUN:
-        have = set(zip(*(terms[k:] for k in range(size)), strict=False))
-    return len(wanted & have) / len(wanted)
+    places = np.arange(len(passage) + 1)
+    # Fewest changes with which the words so far end at each place; the side may begin anywhere.
+    least = np.zeros(len(passage) + 1, np.int64)
+    for word in side:
+        now = least + 1
+        now[1:] = np.minimum(now[1:], least[:-1] + (passage != word))
+        least = np.minimum.accumulate(now - places) + places
+    return max(0.0, 1.0 - float(least.min()) / len(side))
 
 
 def scan(text: str | None, index: Index, threshold: float = THRESHOLD, least: float = MIN_OVERLAP) -> list[tuple]:
@@ -144,7 +199,7 @@ def scan(text: str | None, index: Index, threshold: float = THRESHOLD, least: fl
     found = np.array([look(w, 0) for w in raw], np.int64)
     step = max(MIN_PASSAGE, 2 * index.longest) // 2
     n = max(1, -(-len(raw) // step) - 1)
-    width = len(index.block_max)
+    width = len(index.most)
     best: dict[int, tuple] = {}
     for first in range(0, n, PASSAGES_AT_ONCE):
         last = min(n, first + PASSAGES_AT_ONCE)
@@ -152,24 +207,30 @@ def scan(text: str | None, index: Index, threshold: float = THRESHOLD, least: fl
         # Each word lies in the passage that starts in its half and in the one before; a term counts once in each.
         half = words // step
         pairs = np.concatenate([half * width + found[words], (half - 1) * width + found[words]])
-        pairs = np.unique(pairs[(pairs >= first * width) & (pairs < last * width)])
+        pairs = np.unique(pairs[(pairs >= first * width) & (pairs < last * width) & (pairs % width > 0)])
         passage, term = pairs // width, pairs % width
-        starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        bounds = np.add.reduceat(index.block_max[term], starts, axis=0)
-        for row, block in zip(*np.nonzero(bounds >= threshold - SLACK), strict=True):
-            at = int(passage[starts[row]])
-            own = term[passage == at]
-            hits = index.search([t for t in own.tolist() if t], int(block), threshold)
-            if hits:
-                terms = raw[at * step : (at + 2) * step]
-                have = _runs(terms) if len(terms) >= RUN else set()
-                for item, score in hits:
-                    q, a = (_overlap(r, terms, have) for r in index.runs[item])
-                    if q >= least and a >= least and (item not in best or (score, q, a) > best[item][:3]):
-                        best[item] = (score, q, a)
+        for at, block in zip(*map(np.ndarray.tolist, index.candidates(passage, term, threshold)), strict=True):
+            own = term[np.searchsorted(passage, at) : np.searchsorted(passage, at, "right")]
+            for item, score in index.search(own.tolist(), block, threshold):
+                q, a = (overlap(side, found[at * step : (at + 2) * step]) for side in index.sides[item])
+                if q >= least and a >= least and (item not in best or (score, q, a) > best[item][:3]):
+                    best[item] = (score, q, a)
     return [(index.ids[i], *best[i]) for i in sorted(best)]
 
 
+def _with_terms(items: DataFrame) -> DataFrame:
+    """Add ``terms``, the words of both sides as ``terms_of`` cuts them."""
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("q").to_pylist(), batch.column("a").to_pylist(), strict=True)
+            terms = pa.array([terms_of(q) + terms_of(a) for q, a in sides], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, terms], [*batch.schema.names, "terms"])
+
+    return items.mapInArrow(run, f"item_id {kind}, q string, a string, terms array<string>")
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -199,8 +260,7 @@ def find_contamination(
     # A single sentence is its own answer and must not be counted twice.
     own = own.withColumn("q", F.when(F.col("q") == F.col("a"), F.lit("")).otherwise(F.coalesce("q", F.lit(""))))
     own = own.withColumn("a", F.coalesce("a", F.lit("")))
-    terms = F.regexp_extract_all(F.lower(F.concat_ws(" ", "q", "a")), F.lit(r"(?U)\w+"), 0)
-    own = own.withColumn("terms", terms).where(F.size("terms") > 0)
+    own = _with_terms(own).where(F.size("terms") > 0)
     n, chars, mean = own.agg(
         F.count("*"), F.coalesce(F.sum(F.length("q") + F.length("a")), F.lit(0)), F.coalesce(F.avg(F.size("terms")), F.lit(0.0))
     ).first()

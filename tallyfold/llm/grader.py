@@ -76,6 +76,39 @@ class Grader:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds - value, -500, 500)))
 
 
+def _thresholds(state: np.ndarray, cuts: int) -> np.ndarray:
+    """The thresholds at the end of a state; the gaps between them are exponentials, so their order holds throughout."""
+    own = state[len(state) - cuts :]
+    return np.cumsum(np.concatenate([own[:1], np.exp(own[1:])]))
+
+
+def loss_and_gradient(
+    state: np.ndarray, rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, cuts: int
+) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood with the penalty, and its gradient, at a state of weights and thresholds.
+
+    Document ``rows[i]`` has feature ``columns[i]``; grades run from 0 to ``cuts``.
+    """
+    names = len(state) - cuts
+    weights, limits = state[:names], _thresholds(state, cuts)
+    value = np.bincount(rows, weights[columns], minlength=len(grades))
+    bounds = np.concatenate([[-np.inf], limits, [np.inf]])
+    low = 1 / (1 + np.exp(np.clip(value - bounds[grades], -500, 500)))
+    high = 1 / (1 + np.exp(np.clip(value - bounds[grades + 1], -500, 500)))
+    low[grades == 0], high[grades == cuts] = 0.0, 1.0
+    inside = np.maximum(high - low, 1e-12)
+    loss = float(-np.log(inside).sum() + PENALTY / 2 * (weights * weights).sum())
+    by_high, by_low = high * (1 - high) / inside, low * (1 - low) / inside
+    by_value = by_high - by_low
+    gradient = np.zeros_like(state)
+    gradient[:names] = np.bincount(columns, by_value[rows], minlength=names) + PENALTY * weights
+    by_limit = np.array([by_low[grades == k + 1].sum() - by_high[grades == k].sum() for k in range(cuts)])
+    from_here = np.cumsum(by_limit[::-1])[::-1]
+    gradient[names] = from_here[0]
+    gradient[names + 1 :] = from_here[1:] * np.exp(state[names + 1 :])
+    return loss, gradient
+
+
 def fit(features: list[np.ndarray], grades: np.ndarray) -> Grader:
     """Fit on the given documents by gradient steps with momentum; features in under ``MIN_DOCS`` of them,
     or whose documents' mean grade lies under ``MIN_SCORE`` standard errors from that of all, count nothing."""
@@ -95,37 +128,18 @@ def fit(features: list[np.ndarray], grades: np.ndarray) -> Grader:
         return Grader(np.zeros(1 << BITS), np.zeros(0))
     shares = np.array([(np.sum(grades <= k) + 0.5) / (n + 1) for k in range(cuts)])
     first = np.log(shares / (1 - shares))
-    # The gaps between thresholds are exponentials, so their order holds throughout.
     state = np.concatenate([np.zeros(len(names)), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
     mean, square = np.zeros_like(state), np.zeros_like(state)
 
-    def thresholds_of(state: np.ndarray) -> np.ndarray:
-        own = state[len(names) :]
-        return np.cumsum(np.concatenate([own[:1], np.exp(own[1:])]))
-
     for step in range(1, ROUNDS + 1):
-        weights, limits = state[: len(names)], thresholds_of(state)
-        value = np.bincount(rows, weights[columns], minlength=n)
-        bounds = np.concatenate([[-np.inf], limits, [np.inf]])
-        low = 1 / (1 + np.exp(np.clip(value - bounds[grades], -500, 500)))
-        high = 1 / (1 + np.exp(np.clip(value - bounds[grades + 1], -500, 500)))
-        low[grades == 0], high[grades == cuts] = 0.0, 1.0
-        inside = np.maximum(high - low, 1e-12)
-        by_high, by_low = high * (1 - high) / inside, low * (1 - low) / inside
-        by_value = by_high - by_low
-        gradient = np.zeros_like(state)
-        gradient[: len(names)] = np.bincount(columns, by_value[rows], minlength=len(names)) + PENALTY * weights
-        by_limit = np.array([by_low[grades == k + 1].sum() - by_high[grades == k].sum() for k in range(cuts)])
-        from_here = np.cumsum(by_limit[::-1])[::-1]
-        gradient[len(names)] = from_here[0]
-        gradient[len(names) + 1 :] = from_here[1:] * np.exp(state[len(names) + 1 :])
+        _, gradient = loss_and_gradient(state, rows, columns, grades, cuts)
         gradient /= n
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         state -= STEP * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << BITS)
     weights[names] = state[: len(names)]
-    return Grader(weights, thresholds_of(state))
+    return Grader(weights, _thresholds(state, cuts))
 
 
 def learn(docs: DataFrame, ratings: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Grader:

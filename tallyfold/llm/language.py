@@ -7,10 +7,12 @@ learned by expectation-maximisation from word counts of a bounded sample of labe
 
 Words are runs of letters in lower case after the vocabulary's word mark. A run of over ``MAX_RUN`` letters, as in scripts
 without blanks, is cut every ``MAX_RUN`` letters. A character without a piece of its own goes by the byte pieces of its UTF-8 form.
+Forward sums that become very small are carried in a common unit of ``UNIT`` per level, so that long words lose nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,6 +35,8 @@ MAX_TRAIN_DOCS = 4_000
 ITERATIONS = 2
 SMOOTHING = 0.1
 UNKNOWN = "und"
+# A row of forward sums whose largest is below this is written in the next smaller unit.
+UNIT = 1e-200
 
 
 def pieces_of(path: str) -> list[str]:
@@ -73,17 +77,28 @@ class PieceModel:
             found.append((end - 1, row))
         return found
 
-    def extend(self, word: str, forward: list[list[float]]) -> None:
-        """Append the forward sums of the prefixes of ``word`` that ``forward`` lacks."""
+    def extend(self, word: str, forward: list[tuple[int, list[float]]]) -> None:
+        """Append (level, sums) of the prefixes of ``word`` that ``forward`` lacks; a sum counts ``UNIT`` to the power of its level."""
+        deep = any(level for level, _ in forward)
         for end in range(len(forward), len(word) + 1):
+            steps = self.steps(word, end)
+            level = min(forward[s][0] for s, _ in steps) if deep else 0
             total = [0.0] * len(self.languages)
-            for start, row in self.steps(word, end):
-                total = [t + a * p for t, a, p in zip(total, forward[start], row, strict=True)]
-            forward.append(total)
+            for start, row in steps:
+                own, sums = forward[start]
+                if own != level:
+                    row = [p * UNIT ** (own - level) for p in row]
+                total = [t + a * p for t, a, p in zip(total, sums, row, strict=True)]
+            if max(total) < UNIT:
+                deep, level, total = True, level + 1, [t / UNIT for t in total]
+            forward.append((level, total))
 
     def log_scores(self, words: Iterable[str]) -> dict[str, list[float]]:
-        """Log probability by language of distinct words; sorted words share the sums of common prefixes."""
-        out, before, forward = {}, "", [[1.0] * len(self.languages)]
+        """Log probability by language of distinct words; sorted words share the sums of common prefixes.
+
+        A language whose probability is below 1e-300 of the word's unit counts as that.
+        """
+        out, before, forward = {}, "", [(0, [1.0] * len(self.languages))]
         for word in sorted(words):
             marked = MARK + word
             shared, most = 0, min(len(before), len(marked))
@@ -93,10 +108,34 @@ class PieceModel:
             self.extend(marked, forward)
             before, out[word] = marked, forward[-1]
         names = list(out)
-        logs = np.log(np.maximum(np.array([out[w] for w in names]).reshape(len(names), -1), 1e-300))
+        logs = np.log(np.maximum(np.array([out[w][1] for w in names]).reshape(len(names), -1), 1e-300))
+        logs += math.log(UNIT) * np.array([out[w][0] for w in names]).reshape(len(names), 1)
         return dict(zip(names, logs, strict=True))
 
 
+def _log_sum(terms: list[float]) -> float:
+    most = max(terms, default=-math.inf)
+    return most if most == -math.inf else most + math.log(sum(math.exp(t - most) for t in terms))
+
+
+def _shares(steps: list[list[tuple[int, float]]]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, probability) that a segmentation of the word uses the piece from start to end, in logarithms throughout."""
+    size = len(steps) - 1
+    logs = [[(s, math.log(p)) for s, p in own if p > 0] for own in steps]
+    forward, following = [0.0], [[] for _ in steps]
+    for end in range(1, size + 1):
+        forward.append(_log_sum([forward[s] + p for s, p in logs[end]]))
+        for s, p in logs[end]:
+            following[s].append((end, p))
+    backward = [0.0] * (size + 1)
+    for start in range(size - 1, -1, -1):
+        backward[start] = _log_sum([backward[e] + p for e, p in following[start]])
+    if forward[size] > -math.inf:
+        for end in range(1, size + 1):
+            for s, p in logs[end]:
+                yield s, end, math.exp(forward[s] + p + backward[end] - forward[size])
+
+
 def expected_pieces(counts: Iterable[tuple[str, int]], model: PieceModel, language: int) -> dict[str, float]:
     """How often each piece is expected in counted words, over all segmentations."""
     out: dict[str, float] = {}
@@ -107,22 +146,22 @@ def expected_pieces(counts: Iterable[tuple[str, int]], model: PieceModel, langua
         forward = [1.0] + [0.0] * size
         for end in range(1, size + 1):
             forward[end] = sum(forward[s] * p for s, p in steps[end])
-        backward = [0.0] * size + [1.0]
-        for end in range(size, 0, -1):
-            for s, p in steps[end]:
-                backward[s] += p * backward[end]
-        if forward[size] <= 0:
-            continue
-        for end in range(1, size + 1):
-            for s, p in steps[end]:
-                share = n * forward[s] * p * backward[end] / forward[size]
-                piece = marked[s:end]
-                if piece in model.table:
-                    out[piece] = out.get(piece, 0.0) + share
-                else:
-                    for byte in piece.encode():
-                        name = f"<0x{byte:02X}>"
-                        out[name] = out.get(name, 0.0) + share
+        if forward[size] < UNIT:
+            shares = _shares(steps)
+        else:
+            backward = [0.0] * size + [1.0]
+            for end in range(size, 0, -1):
+                for s, p in steps[end]:
+                    backward[s] += p * backward[end]
+            shares = ((s, e, forward[s] * p * backward[e] / forward[size]) for e in range(1, size + 1) for s, p in steps[e])
+        for s, end, share in shares:
+            piece = marked[s:end]
+            if piece in model.table:
+                out[piece] = out.get(piece, 0.0) + n * share
+            else:
+                for byte in piece.encode():
+                    name = f"<0x{byte:02X}>"
+                    out[name] = out.get(name, 0.0) + n * share
     return out
 
 
@@ -153,14 +192,18 @@ def learn(
 ) -> PieceModel:
     """Learn from columns doc_id, text and lang, none of them null in the rows that count.
 
-    About ``max_docs`` documents, chosen by a hash of their ids, are the sample; it bounds the word table. What reaches the
+    Of each language about its even share of ``max_docs`` documents, chosen by a hash of their ids, or all it has, are the
+    sample, so that a rare language is learned in a table of any size; the sample bounds the word table. What reaches the
     driver is one number for each language and piece. Without rows the model has no languages.
     """
     vocabulary = pieces_of(path or public_tokenizers.path(VOCABULARY_FILE))
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = labelled.count()
-    share = min(1.0, max_docs / n) if n else 1.0
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    each = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each language, a number the model is made for.
+    part = F.lit(float(max_docs)) / max(1, each.count())
+    shares = each.select("lang", F.least(F.lit(1.0), part / F.col("_n")).alias("_share"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    chosen = labelled.join(F.broadcast(shares), "lang").where(place < F.col("_share"))
     counts = _word_counts(chosen.select("lang", "text")).persist()
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     start = 1.0 / len(vocabulary)

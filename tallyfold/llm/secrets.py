@@ -143,8 +143,8 @@ def _battery(df: DataFrame) -> DataFrame:
 def _find(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
     """``_keep_i`` columns, ``_text``, n_assign, n_access, n_hex, ``_base`` and ``_all``: arrays of (s, k, e) in order."""
     df = docs.select(
-        *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)],
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"),
     )
     df = _located(df, ASSIGN, "_assign")
     long_enough = f"x -> length(regexp_extract(x.m, {_quoted(ASSIGN)}, 1)) >= {MIN_ASSIGNED}"
@@ -188,18 +188,29 @@ def mask_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars", m
     texts without spans, null ones included, stay as they are.
     """
     df = _find(docs, tuple(docs.columns), text)
-    # A span that starts before the end of those before it only lengthens them.
-    df = df.withColumn("_at", F.expr("transform(_all, (x, k) -> named_struct('s', x.s, 'e', x.e))"))
+    # A span that starts before the end of those before it only lengthens them. Spans are merged in groups, and the text is cut
+    # as an array of characters, so that the work is in proportion to both.
+    span = "struct<s: bigint, e: bigint>"
+    df = df.withColumn(
+        "_groups",
+        F.expr(f"if(size(_all) = 0, null, transform(sequence(0, (size(_all) - 1) div {GROUP}), b -> slice(_all, cast(b * {GROUP} + 1 as int), {GROUP})))"),
+    )
+    step = (
+        "(t, x) -> if(x.s <= t.e, named_struct('s', t.s, 'e', greatest(t.e, x.e), 'kept', t.kept), named_struct('s', x.s, 'e', x.e,"
+        " 'kept', if(t.e < 0, t.kept, concat(t.kept, array(named_struct('s', t.s, 'e', t.e))))))"
+    )
     merge = (
-        "aggregate(_at, cast(array() as array<struct<s: bigint, e: bigint>>), (a, x) -> if(size(a) > 0 and"
-        " element_at(a, -1).e >= x.s, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e',"
-        " greatest(element_at(a, -1).e, x.e)))), concat(a, array(named_struct('s', x.s, 'e', x.e)))))"
+        f"aggregate(_groups, named_struct('s', -1L, 'e', -1L, 'kept', cast(array() as array<array<{span}>>)), (acc, g) -> aggregate(g,"
+        f" named_struct('s', acc.s, 'e', acc.e, 'kept', cast(array() as array<{span}>)), {step},"
+        " t -> named_struct('s', t.s, 'e', t.e, 'kept', concat(acc.kept, array(t.kept)))),"
+        " acc -> concat(flatten(acc.kept), array(named_struct('s', acc.s, 'e', acc.e))))"
     )
-    df = df.withColumn("_cuts", F.expr(merge))
+    df = df.withColumn("_cuts", F.expr(f"if(size(_all) = 0, cast(array() as array<{span}>), {merge})"))
+    df = df.withColumn("_chars", F.expr("if(size(_cuts) = 0, null, split(_text, ''))"))
     pieces = (
-        "concat(transform(_cuts, (x, k) -> concat(substring(_text, cast(coalesce(get(_cuts, k - 1).e, 0L) as int) + 1,"
-        " cast(x.s - coalesce(get(_cuts, k - 1).e, 0L) as int)), {mark})),"
-        " array(substring(_text, cast(element_at(_cuts, -1).e as int) + 1)))"
+        "concat(transform(_cuts, (x, k) -> concat(array_join(slice(_chars, cast(coalesce(get(_cuts, k - 1).e, 0L) + 1 as int),"
+        " cast(x.s - coalesce(get(_cuts, k - 1).e, 0L) as int)), ''), {mark})),"
+        " array(array_join(slice(_chars, cast(element_at(_cuts, -1).e + 1 as int), size(_chars)), '')))"
     ).format(mark=_quoted(mark))
     df = df.withColumn("_masked", F.expr(f"if(size(_cuts) = 0, null, array_join({pieces}, ''))"))
     out = []

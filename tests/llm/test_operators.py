@@ -184,7 +184,7 @@ def test_wand_like_brute_force():
         terms, want = list({rnd.randint(1, len(index.postings)) for _ in range(20)}), Counter()
         for t in terms:
             want.update(dict(zip(index.postings[t - 1].items, index.postings[t - 1].weights, strict=True)))
-        found = {i for b in range(index.block_max.shape[1]) for i, _ in index.search(terms, b, 0.4)}
+        found = {i for b in range(index.n_blocks) for i, _ in index.search(terms, b, 0.4)}
         assert found == {i for i, s in want.items() if s >= 0.4 - decontaminate.SLACK}
 
 
