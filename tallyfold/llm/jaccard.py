@@ -79,17 +79,17 @@ class Slices:
             b = self.bounds[-1]
             self.bounds.append(max(b + 1, -(-b * 100 // self.percent)))
 
-    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cell, tag): a signature for each slice of the set's own class and of the next, and spare << 1 | class.
+    def of(self, shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(tag, cells) for the set's own class and for the next: spare << 1 | class, and a signature for each slice.
 
         ``spare`` cells of the class may be left out, if all sets leave out those that are last in one common order.
         """
         size = len(shingles)
         if not size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return []
         self._grow(size)
         own = bisect_right(self.bounds, size) - 1
-        out, tags = [], []
+        out = []
         for scheme in (own, own + 1):
             # Linked sets of sizes below the class's end differ in this many shingles at most.
             differ = 2 * (self.bounds[scheme + 1] - 1) * (100 - self.percent) // (100 + self.percent)
@@ -103,9 +103,30 @@ class Slices:
             # sets share, need no cell.
             used = np.bincount(slice_of, minlength=n) > 0
             spare = max(int(used.sum()) - differ - 1, 0)
-            out.append(cells[used] if used.sum() > differ else cells)
-            tags.append(np.full(len(out[-1]), spare << 1 | scheme - own, np.int64))
-        return np.concatenate(out).view(np.int64), np.concatenate(tags)
+            out.append((spare << 1 | scheme - own, (cells[used] if used.sum() > differ else cells).view(np.int64)))
+        return out
+
+
+def _digests(docs: DataFrame, k: int) -> DataFrame:
+    """doc, n, digest of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHashes()
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column("text")):
+                sets = shingle_hashes([split_words(lower_ascii(t or "")) for t in texts], k, hasher)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc").slice(at, len(texts)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    ],
+                    ["doc", "n", "digest"],
+                )
+                at += len(texts)
+
+    return docs.mapInArrow(run, "doc bigint, n bigint, digest binary")
 
 
 def _prepared(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -119,11 +140,16 @@ def _prepared(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sets = shingle_hashes([split_words(lower_ascii(t or "")) for t in texts], k, hasher)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 found = [cells.of(s) for s in sets]
-                ends = np.cumsum([0, *(len(f[0]) for f in found)])
-                # The tag tells the sets of a document with several texts apart by a part of the digest.
-                marks = [f[1] << 32 | int.from_bytes(d[:4]) for f, d in zip(found, digests, strict=True)]
-                parts = [np.concatenate([f[0] for f in found]), np.concatenate(marks)]
-                pairs = pa.StructArray.from_arrays([pa.array(c) for c in parts], ["cell", "tag"])
+                # The tag tells the sets of a document with several texts apart by a part of the digest. It is kept once for
+                # all cells of a class.
+                tags = [tag << 32 | int.from_bytes(d[:4]) for f, d in zip(found, digests, strict=True) for tag, _ in f]
+                cells_of = [c for f in found for _, c in f]
+                inner = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, cells_of)]), pa.int32()),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *cells_of])),
+                )
+                ends = np.cumsum([0, *map(len, found)])
+                pairs = pa.StructArray.from_arrays([pa.array(tags, pa.int64()), inner], ["tag", "cells"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(at, len(texts)),
@@ -135,7 +161,7 @@ def _prepared(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, digest binary, signatures array<struct<cell: bigint, tag: bigint>>")
+    return docs.mapInArrow(run, "doc bigint, n bigint, digest binary, signatures array<struct<tag: bigint, cells: array<bigint>>>")
 
 
 def _rarest(classes: DataFrame) -> DataFrame:
@@ -145,7 +171,7 @@ def _rarest(classes: DataFrame) -> DataFrame:
     Before it, each of the two has only slices they differ in, so that neither leaves it out. Counts end at COMMON, so that only so many
     rows are held back.
     """
-    rows = classes.select(F.explode("signatures").alias("s"), "doc").select("s.cell", "s.tag", "doc")
+    rows = classes.select(F.explode("signatures").alias("s"), "doc").select(F.explode("s.cells").alias("cell"), "s.tag", "doc")
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,13 +454,18 @@ def near_duplicates(
     No rows give no rows, and other columns are not read.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    sets = stored(_prepared(own, k, percent), "shingle-sets")
-    linkable = sets.where((F.col("n") > 0) & F.col("doc").isNotNull())
+    # Narrow rows are read several times and stored; signatures, the bulk of the work, are made where they are needed and
+    # go through one exchange only.
+    sets = stored(_digests(own, k), "shingle-sets")
+    linked = (F.col("n") > 0) & F.col("doc").isNotNull()
+    linkable = sets.where(linked)
     # Equal sets are one class with its smallest document for all; a document with several texts is in several classes.
-    classes = linkable.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("signatures").alias("signatures"))
+    classes = linkable.groupBy("digest").agg(F.min("doc").alias("doc"))
+    signed = _prepared(own, k, percent).where(linked).groupBy("digest")
+    signed = signed.agg(F.min("doc").alias("doc"), F.first("signatures").alias("signatures"))
     copies = linkable.join(classes.select("digest", F.col("doc").alias("v")), "digest").where("doc <> v")
     equal = copies.select(F.col("doc").alias("u"), "v")
-    cells = _cell_links(classes.select("doc", "signatures"))
+    cells = _cell_links(signed.select("doc", "signatures"))
     clusters = stored(components(cells, "u", "v"), "clusters")
     chosen = classes.select(F.col("digest").alias("_digest"), "doc").join(clusters, F.col("doc") == F.col("node"))
     chosen = chosen.select("doc", "_digest", F.col("component").alias("region"))
