@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.pretokens import MAX_CACHED_PIECE, pieces, room, slices
+from tallyfold.llm.pretokens import MAX_CACHED_PIECE, PART, WORD, slices
 
 # About 120 bytes each.
 MAX_CACHED_PAIRS = 150_000
-# About 250 bytes each, in each of two caches.
-MAX_CACHED_WORDS = 150_000
+# About 250 bytes each.
+MAX_CACHED_PARTS = 300_000
 SLICE_BYTES = 2_000_000
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
@@ -175,17 +175,16 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         # All token bytes in a row, for decoding with array look-ups.
         tokens = [self.vocabulary.bytes_of.get(i, b"") for i in range(max(self.vocabulary.bytes_of, default=-1) + 1)]
         self._flat = np.frombuffer(b"".join(tokens), np.uint8)
         self._sizes = np.array([len(t) for t in tokens], np.int64)
         self._starts = np.cumsum(self._sizes) - self._sizes
 
-    def _learn(self, matches: set[str]) -> None:
+    def _learn(self, matches: set[str]) -> dict[str, bytes]:
         """Encode matches of the pattern in byte order, each from the table of the prefix it shares with the last."""
-        v = self.vocabulary
+        v, out = self.vocabulary, {}
         before, last = b"", [-1]
         for data in sorted(m.encode() for m in matches):
             whole = v.ranks.get(data)
@@ -198,44 +197,33 @@ class Encoder:
                 del last[shared + 1 :]
                 v.fill(data, last, len(data))
                 found, before = v.read_back(data, last), data
-            self.matches[data.decode()] = array("I", found).tobytes()
+            out[data.decode()] = array("I", found).tobytes()
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none of a null or empty text."""
-        cut = [pieces(t or "") for t in texts]
-        words, matches, split = self.words, room(self.matches, MAX_CACHED_WORDS), self.pattern.findall
-        odd = {p for first, plain, uneven in cut for p in ([first] if uneven is None else uneven)}
-        known = [list(map(words.get, plain)) if plain else [] for _, plain, _ in cut]
-        missing = set()
-        for (_, plain, _), ids in zip(cut, known, strict=True):
-            if None in ids:
-                missing.update([w for w, i in zip(plain, ids, strict=True) if i is None])
-        parts = {w: split(" " + w) for w in missing} | {(p,): split(p) for p in odd}
-        new = set(chain.from_iterable(parts.values())).difference(matches)
-        long = [m for m in new if len(m) > MAX_CACHED_PIECE]
-        self._learn(new)
-        own = {w: b"".join(map(matches.__getitem__, found)) for w, found in parts.items()}
-        words.update((w, own[w]) for w in missing if len(w) <= MAX_CACHED_PIECE)
-        out = []
-        for (first, plain, uneven), ids in zip(cut, known, strict=True):
-            if uneven is not None:
-                out.append(b"".join(own[p,] for p in uneven))
-                continue
-            if None in ids:
-                ids = [own[w] if i is None else i for w, i in zip(plain, ids, strict=True)]
-            out.append(own[first,] + b"".join(ids))
-        for m in long:
-            del matches[m]
-        if len(words) > MAX_CACHED_WORDS:
-            # Words that this run of texts found in the cache are the frequent ones and stay, if they leave room.
-            again = set(chain.from_iterable(plain or () for _, plain, _ in cut)).difference(missing)
-            self.words = {w: words[w] for w in again} if 2 * len(again) < MAX_CACHED_WORDS else {}
+        cut = [PART.findall(t) if t else [] for t in texts]
+        known, split = self.known, self.pattern.findall
+        used = set().union(*cut)
+        new = used.difference(known)
+        # A word with the blank before it is one match of the pattern; other parts are split by it.
+        parts = {p: [p] if WORD.fullmatch(p) else split(p) for p in new}
+        own = self._learn(set(chain.from_iterable(parts.values())))
+        known.update((p, b"".join([own[m] for m in found])) for p, found in parts.items())
+        out = [b"".join(map(known.__getitem__, found)) for found in cut]
+        for p in new:
+            if len(p) > MAX_CACHED_PIECE:
+                del known[p]
+        if len(known) > MAX_CACHED_PARTS:
+            # Parts that this run of texts found in the cache are the frequent ones and stay, if they leave room.
+            again = used.difference(new)
+            self.known = {p: known[p] for p in again} if 2 * len(again) < MAX_CACHED_PARTS else {}
         return out
 
     def forget(self) -> None:
         """Drop everything that grew with the texts."""
         v = self.vocabulary
-        for cache in (self.words, self.matches, v.lengths, v._pairs):
+        for cache in (self.known, v.lengths, v._pairs):
             cache.clear()
 
     def encode(self, text: str | None) -> bytes:

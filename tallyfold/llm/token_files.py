@@ -9,7 +9,6 @@ in ascending document order, with one row for each document: shard, place in the
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyfold.llm.pretokens import MAX_CACHED_PIECE, MAX_CACHED_PIECES, WHITE, slices
+from tallyfold.llm.pretokens import MAX_CACHED_PIECE, MAX_CACHED_PIECES, PART, WORD, slices
 from tallyfold.session import scratch_path
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -35,17 +34,6 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ONE, ESCAPE = 15, 0xF << 60
 # Fixed value: how the vocabulary file writes a blank.
 BLANK = "\u0120"
-# Letters of Latin and Cyrillic script, which any version of Unicode calls letters. The split pattern ends a match between such
-# a letter and anything that is none, and around a line end that stands between other characters.
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u052f"
-CLOSING = ".,;:!?"
-PART = re.compile(
-    f" ?[{LETTERS}]++(?=[{CLOSING}{WHITE}]|$)"  # a word, with the blank before it
-    f"|[{CLOSING}]++(?=[{WHITE}]|$)"  # what closes it
-    f"|\n(?=[{LETTERS}])"  # a single line end
-    f"|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"  # anything else up to the next white space
-)
-WORD = re.compile(f" ?[{LETTERS}]+")
 # Selector 15 with a payload of 60 zero bits is the escape; one id of up to 59 bits has a one in bit 59.
 MARK = 1 << 59
 
