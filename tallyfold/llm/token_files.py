@@ -9,9 +9,10 @@ in ascending document order, with one row for each document: shard, place in the
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyfold.llm.pretokens import MAX_CACHED_PIECE, MAX_CACHED_PIECES, PART, WORD, slices
+from tallyfold.llm.pretokens import CLOSING, LETTERS, MAX_CACHED_PIECE, MAX_CACHED_PIECES, SLICE_BYTES, WHITE
 from tallyfold.session import scratch_path
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -144,29 +145,90 @@ def read_block(words: np.ndarray, blocks: np.ndarray, k: int) -> tuple[int, np.n
     return int(blocks[k, 1]), unpack(words[int(blocks[k, 0]) : stop])
 
 
-class _Places(dict):
-    """Parts to their places in the order of first use."""
+# What a character is, by code point; those beyond the table are neither.
+LETTER_KIND, CLOSING_KIND, WHITE_KIND = 1, 2, 4
+KINDS = np.zeros(1 << 16, np.uint8)
+for _kind, _class in ((LETTER_KIND, LETTERS), (CLOSING_KIND, CLOSING), (WHITE_KIND, WHITE)):
+    KINDS[[m.start() for m in re.finditer(f"[{_class}]", "".join(map(chr, range(1 << 16))))]] = _kind
+# How a part can be encoded together with others: behind a blank of its own, with a line end after it, or alone.
+BLANK_BEFORE, LINE_AFTER, ALONE = 0, 1, 2
 
-    def __missing__(self, part: str) -> int:
-        place = self[part] = len(self)
-        return place
+
+def _bounds(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer | None]:
+    """(where each text begins and the last ends, the bytes of all) of a column without nulls."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return bounds, texts.buffers()[2]
+
+
+def cut(texts: pa.Array, whole: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(parts of all texts in a row, how each can be encoded, number of parts up to the end of each text).
+
+    A part begins where a text begins, at white space after another character, at a closing mark after a letter, and at a letter
+    after a single line end: there the split pattern always ends a match. A text that holds one of ``whole`` is one part.
+    """
+    bounds, data = _bounds(texts)
+    if bounds[-1] == bounds[0]:
+        return pa.array([], pa.large_string()), np.zeros(0, np.uint8), np.zeros(len(texts), np.int64)
+    data = data.slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+    joined = str(data, "utf-8")
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kinds = KINDS[np.minimum(points, len(KINDS) - 1)]
+    white = kinds == WHITE_KIND
+    if len(points) == len(data):
+        byte = None
+        firsts = bounds[:-1] - bounds[0]
+    else:
+        sizes = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+        byte = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        firsts = np.searchsorted(byte, bounds[:-1] - bounds[0])
+    begins = np.zeros(len(points), bool)
+    letter = kinds == LETTER_KIND
+    begins[1:] = white[1:] & ~white[:-1]
+    begins[1:] |= (kinds[1:] == CLOSING_KIND) & letter[:-1]
+    line = points == 10
+    line[1:] &= ~white[:-1]
+    begins[1:] |= letter[1:] & line[:-1]
+    filled = firsts[np.diff(bounds) > 0]
+    begins[filled] = True
+    # A line end that opens a text has no white space before it, whatever the text before ends with.
+    opens = filled[filled + 1 < len(points)]
+    opens = opens[(points[opens] == 10) & letter[opens + 1]]
+    begins[opens + 1] = True
+    alone = []
+    if any(name in joined for name in whole):
+        ends = np.append(firsts[1:], len(points))
+        for first, end in zip(firsts.tolist(), ends.tolist(), strict=True):
+            if any(name in joined[first:end] for name in whole):
+                begins[first + 1 : end] = False
+                alone.append(first)
+    starts = np.flatnonzero(begins)
+    blanks = np.add.reduceat(white, starts, dtype=np.int64)
+    long = np.diff(starts, append=len(points)) > 1
+    how = np.where((blanks == 1) & (points[starts] == 32) & long, BLANK_BEFORE, ALONE).astype(np.uint8)
+    how[blanks == 0] = LINE_AFTER
+    how[np.searchsorted(starts, alone)] = ALONE
+    at = starts if byte is None else byte[starts]
+    offsets = np.append(at, len(data)).astype(np.int64)
+    parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), data)
+    return parts, how, np.searchsorted(starts, np.append(firsts[1:], len(points)))
 
 
 class WordEncoder:
     """The tokenizers library, asked once for each distinct part of a text while the cache holds it.
 
-    The ids of all parts lie in one array; a text is a row of places in it, so that no part is a Python object but its name.
+    The ids of all parts lie in one array; a text is a row of places in it, so that no part is a Python object but once in a run.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.together = not any(c in WHITE for s in self.specials for c in s)
         found = tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = found[0] if len(found) == 1 else None
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
-        self.places = _Places()
+        self.places: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, parts: list[str]) -> Iterator[list[int]]:
@@ -190,22 +252,23 @@ class WordEncoder:
                 ids, sizes = np.array(list(chain.from_iterable(each)), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
             yield ids, sizes
 
-    def _learn(self, first: int) -> None:
-        """Encode the parts from place ``first`` on."""
-        new = list(islice(self.places, first, None))
-        kinds = [[], [], []]
-        for k, p in enumerate(new):
-            kinds[2 if not WORD.fullmatch(p) or self.line_end is None else p[0] != " "].append(k)
-        runs = []
-        for kind, between in ((0, ""), (1, "\n")):
-            runs += self._encode_joined([new[k] for k in kinds[kind]], between)
-        for ids in self._encode([new[k] for k in kinds[2]]):
-            runs.append((np.array(ids, np.uint32), np.array([len(ids)])))
+    def _learn(self, new: list[str], how: np.ndarray) -> None:
+        """Encode parts that stand at the next places; ``how`` says what they can be encoded with."""
+        if not self.together:
+            how = np.full(len(new), ALONE)
+        elif self.line_end is None:
+            how = np.where(how == LINE_AFTER, ALONE, how)
+        order, runs = [np.flatnonzero(how == k) for k in (BLANK_BEFORE, LINE_AFTER, ALONE)], []
+        for own, between in zip(order, ("", "\n"), strict=False):
+            runs += self._encode_joined([new[k] for k in own.tolist()], between)
+        alone = list(self._encode([new[k] for k in order[ALONE].tolist()]))
+        sizes = np.fromiter(map(len, alone), np.int64, len(alone))
+        runs.append((np.fromiter(chain.from_iterable(alone), np.uint32, int(sizes.sum())), sizes))
         sizes = np.concatenate([s for _, s in runs])
-        starts, order = np.cumsum(sizes) - sizes + len(self.flat), np.concatenate([np.array(k, np.int64) for k in kinds])
+        starts = np.cumsum(sizes) - sizes + len(self.flat)
         self.flat = np.concatenate([self.flat, *(ids for ids, _ in runs)])
         own = np.empty((2, len(new)), np.int64)
-        own[:, order] = starts, sizes
+        own[:, np.concatenate(order)] = starts, sizes
         self.starts, self.sizes = np.concatenate([self.starts, own[0]]), np.concatenate([self.sizes, own[1]])
 
     def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,24 +288,32 @@ class WordEncoder:
         self.flat, ends = self._gathered(own)
         self.sizes = self.sizes[own]
         self.starts = ends - self.sizes
-        self.places = _Places(zip((names[k] for k in kept), range(len(kept)), strict=True))
+        self.places = dict(zip((names[k] for k in kept), range(len(kept)), strict=True))
 
-    def encode_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_texts(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); a null or empty text has none.
 
         A text that holds the name of a special token goes to the library whole.
         """
-        cut = [[] if not t else [t] if any(s in t for s in self.specials) else PART.findall(t) for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        first = len(self.places)
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        if len(self.places) > first:
-            self._learn(first)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        parts, how, upto = cut(texts.cast(pa.large_string()).fill_null(""), self.specials)
+        coded = parts.dictionary_encode()
+        index, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter((self.places.get(name, -1) for name in names), np.int64, len(names))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            own = np.empty(len(names), np.uint8)
+            own[index] = how  # equal parts can be encoded alike
+            place[fresh] = np.arange(len(fresh)) + len(self.places)
+            new = [names[k] for k in fresh.tolist()]
+            self._learn(new, own[fresh])
+            self.places.update(zip(new, place[fresh].tolist(), strict=True))
+        at = place[index]
         ids, ends = self._gathered(at)
         if len(self.places) > MAX_CACHED_PIECES or len(self.flat) > 8 * MAX_CACHED_PIECES:
             self._keep(at)
-        upto = np.append(0, ends)[np.append(0, np.cumsum(counts))]
-        return ids, np.diff(upto)
+        return ids, np.diff(np.append(0, ends)[upto], prepend=0)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -290,7 +361,7 @@ def write_token_files(
         shard, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            for texts in slices(batch.column("text")):
+            for texts in _slices(batch.column("text")):
                 ids, sizes = own.encode_texts(texts)
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype(np.uint64)
                 sizes = sizes + 1
@@ -319,6 +390,18 @@ def write_token_files(
     sorted_rows.mapInArrow(run, schema).write.parquet(folder)
 
 
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts of a column in runs of about ``SLICE_BYTES``, or one longer text."""
+    column = column.cast(pa.large_string()).fill_null("")
+    bounds, _ = _bounds(column)
+    first = 0
+    while first < len(column):
+        stop = max(int(np.searchsorted(bounds, bounds[first] + SLICE_BYTES)), first + 1)
+        stop = min(stop, len(column))
+        yield column.slice(first, stop - first)
+        first = stop
+
+
 def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """The words of rows first to stop, about ``RUN_WORDS`` at a time or one longer row."""
     first, held, size = 0, [], 0
