@@ -26,8 +26,12 @@ LAST_MILLIS = 8_640_000_000_000_000
 LAST_YEAR = 275_760
 
 
-def _present(text: Column) -> Column:
-    return text.isNotNull() & (text.cast("string") != "")
+def _present(value: Column) -> Column:
+    """Neither null, nor an empty text, nor the number zero; the text "0" is a value."""
+    filled = F.when(F.typeof(value) == "string", value.cast("string") != "").otherwise(
+        ~value.try_cast("double").eqNullSafe(F.lit(0.0))
+    )
+    return value.isNotNull() & filled
 
 
 def billing_objects(payments: DataFrame, invoices: DataFrame) -> DataFrame:
