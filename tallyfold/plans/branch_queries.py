@@ -222,9 +222,10 @@ select doc_id as id, content, 'any' as channel from log
 qualify row_number() over (partition by content order by doc_id) = 1 and kind = 'idea'""",
 )
 def j7_policy(t: Tables) -> DataFrame:
-    log = t.documents.join(t.labels, "doc_id", "left").select(
+    hashed = t.documents.select("doc_id", F.sha2("text", 256).alias("content"))
+    log = hashed.join(t.labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
-        F.sha2("text", 256).alias("content"),
+        "content",
         F.col("doc_id").alias("arrived_at"),
         F.when(F.col("toxic") == 1, "against_policy").when(F.col("quality") == 0, "bug").otherwise("idea").alias("kind"),
     )
