@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import PII_PATTERNS
-from tallyfold.operators.payments import activate, latest_periods, stack_periods
+from tallyfold.operators.payments import activate, classify_events, latest_periods, stack_periods
 from tallyfold.operators.privacy import mask_pii, pseudonymise, scan_pii
 from tallyfold.operators.state import latest_documents
 from tallyfold.operators.submissions import active_entries
@@ -76,3 +76,19 @@ def test_names_of_many_words(spark):
     roster = spark.createDataFrame([(1, "Abu Bakr bin Ali bin Omar")], "owner int, name string")
     row = pseudonymise(docs, roster, "owner", ["k"])["docs"].first()
     assert row.replaced == 1 and "Omar" not in row.text and row.text.endswith("and Abu Bakr.")
+
+
+def test_object_id_zero_counts_as_missing(spark):
+    """The number 0 is no id, as in the handler; the text "0" is one, and an empty text is none."""
+    nothing = spark.createDataFrame([], "id string, status string, user_id string")
+    stored = spark.createDataFrame([], "user_id string, provider_ref string")
+
+    def outcomes(ids, kind):
+        events = spark.createDataFrame([(n, i) for n, i in enumerate(ids)], f"n int, object_id {kind}")
+        objects = nothing.withColumn("id", F.col("id").cast(kind))
+        done = classify_events(events, objects, objects, stored)
+        return [r.outcome for r in done.orderBy("n").collect()]
+
+    assert outcomes([0, 7, None], "long") == ["no_id", "unverifiable", "no_id"]
+    assert outcomes([0.0, 0.5], "double") == ["no_id", "unverifiable"]
+    assert outcomes(["0", "", "a", None], "string") == ["unverifiable", "no_id", "unverifiable", "no_id"]
