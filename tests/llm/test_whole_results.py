@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -59,6 +60,21 @@ def test_twins(spark, name):
     assert oracle.difference(oracle.spark_rows(entry.queries()[name](spark, SMALL)), oracle.sql_rows(con, sql)) is None
 
 
+def test_parts_of_texts_have_the_ids_of_the_library():
+    """Random texts of white space, marks, contractions, letters of several scripts and a special token, in Arrow runs."""
+    rnd = random.Random(11)
+    some = list(" \n\t.,;:!?'abcXYZ\u00e9\u0416\u044f0192*$-_\u00a0\u3000\u65e5\U0001f600\u0301\u01c5")
+    some += ["  ", "\n\n", "'s", "'ll ", "<|endoftext|>", "the ", " word", ". ", ",\n", "\r\n"]
+    texts = [None, "", " ", "\n", "\na", "a\n", "\nb", ""] + ["".join(rnd.choices(some, k=rnd.randint(0, 40))) for _ in range(8000)]
+    own = token_files.encoder(public_tokenizers.path(token_files.TOKENIZER_FILE))
+    column = pa.array(texts + texts[::-1], pa.string())
+    got = []
+    for first in range(0, len(column), 3000):  # runs that begin within the column's buffers
+        ids, sizes = own.encode_texts(column.slice(first, 3000))
+        got += [found.tolist() for found in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+
+
 def test_token_files_hold_the_library_ids(spark, documents):
     library = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER_FILE))
     got, start = result(spark, "op4_token_files"), 0
