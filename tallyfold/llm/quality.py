@@ -8,8 +8,10 @@ is a column expression over one row; nothing is shuffled and no Python runs.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.words import words_of
@@ -38,6 +40,17 @@ WORD_SHARES = {
     "es": {"de": 0.060, "la": 0.037, "que": 0.030, "el": 0.027, "en": 0.025, "y": 0.024, "los": 0.017,
            "se": 0.012, "las": 0.012, "del": 0.012, "un": 0.010, "por": 0.010, "con": 0.009, "no": 0.009},
 }
+@dataclass(frozen=True)
+class References:
+    """Per language the shares of the six classes of characters, and those of its commonest words; all above 0."""
+
+    chars: Mapping[str, Sequence[float]]
+    words: Mapping[str, Mapping[str, float]]
+
+
+TYPED = References(CHAR_SHARES, WORD_SHARES)
+CHAR_CLASSES = 6
+COMMON_WORDS = 14
 MIN_CHARS_FOR_DIVERGENCE = 300
 MIN_WORDS_FOR_DIVERGENCE = 100
 MAX_CHAR_DISTANCE = 0.30
@@ -115,8 +128,43 @@ def _common_counts(df: DataFrame, common: list[str]) -> DataFrame:
     return df.withColumn("_word_shares", F.transform(shares, lambda c: c / F.greatest("_n_words", F.lit(1))))
 
 
+def learn_references(
+    docs: DataFrame, languages: Sequence[str], lang: str = "lang", text: str = "text", common: int = COMMON_WORDS
+) -> References:
+    """References of the named languages from all texts of a table that say which language they are in.
+
+    Characters are counted per class, and words of letters in small letters or with a capital as one. The ``common`` most
+    frequent ones of each language (ties by the word) are its common words. Counts combine on the map side, and only
+    these numbers per named language reach the driver. Null texts, and null or other languages, count nothing; a language
+    without any word of its own is left out, and a table without any such language raises a ValueError. Other columns of ``docs`` are not read.
+    """
+    rows = docs.select(F.col(f"`{lang}`").alias("_lang"), F.col(f"`{text}`").alias("_text"))
+    rows = rows.where(F.col("_lang").isin(list(languages)) & F.col("_text").isNotNull())
+    rows = rows.withColumn("_words", words_of(F.col("_text")))
+    classes = [F.sum(f"_c{i}").alias(f"_c{i}") for i in range(CHAR_CLASSES)]
+    totals = {r["_lang"]: r for r in _char_counts(rows).groupBy("_lang").agg(*classes, F.sum(F.size("_words")).alias("_n")).collect()}
+    word = rows.select("_lang", F.explode("_words").alias("_word")).where(F.regexp_like("_word", F.lit(r"^\p{L}\p{Ll}*$")))
+    counted = word.groupBy("_lang", F.lower("_word").alias("_word")).count()
+    order = Window.partitionBy("_lang").orderBy(F.desc("count"), "_word")
+    top = counted.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= common).orderBy("_lang", "_place")
+    words: dict[str, dict[str, float]] = {}
+    for r in top.collect():
+        words.setdefault(r["_lang"], {})[r["_word"]] = r["count"] / (totals[r["_lang"]]["_n"] + 1)
+    if not words:
+        raise ValueError("no text in any of the languages has a word")
+    chars = {}
+    for name in words:
+        counts = [totals[name][f"_c{i}"] + 1 for i in range(CHAR_CLASSES)]  # one more each, so that no share is 0
+        chars[name] = [n / sum(counts) for n in counts]
+    return References(chars, words)
+
+
 def measure_quality(
-    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_text: bool = False
+    docs: DataFrame,
+    keep: tuple[str, ...] = ("doc_id",),
+    text: str = "text",
+    with_text: bool = False,
+    references: References = TYPED,
 ) -> DataFrame:
     """``keep`` columns and, for every row, counts, divergences and verdicts.
 
@@ -124,7 +172,7 @@ def measure_quality(
     to the nearest language, null for texts under the minimum lengths); base_failed and kept (boolean). A null or
     empty text has no words and fails. Repeated rows are judged each; other columns of ``docs`` are not read.
     A text is one row; its longest intermediate value is five times its own size. ``with_text`` adds the text itself as _text,
-    empty where it is null.
+    empty where it is null. ``references`` are those of ``learn_references``, or typed ones of four languages.
     """
     df = docs.select(
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
@@ -135,14 +183,14 @@ def measure_quality(
     df = _repeats(_char_counts(df))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_lines", lines)
-    common = sorted({w for shares in WORD_SHARES.values() for w in shares})
+    common = sorted({w for shares in references.words.values() for w in shares})
     df = _common_counts(df, common)
-    counts = F.array(*[F.col(f"_c{i}") for i in range(6)])
+    counts = F.array(*[F.col(f"_c{i}") for i in range(CHAR_CLASSES)])
     df = df.withColumn("_char_shares", F.transform(counts, lambda c: c / F.greatest("_chars", F.lit(1))))
 
-    by_chars = [_distance(F.col("_char_shares"), list(q)) for q in CHAR_SHARES.values()]
+    by_chars = [_distance(F.col("_char_shares"), list(q)) for q in references.chars.values()]
     by_words = []
-    for shares in WORD_SHARES.values():
+    for shares in references.words.values():
         at = F.array(*[F.lit(common.index(w)) for w in shares])
         own = F.transform(at, lambda k: F.get("_word_shares", k))
         rest = F.greatest(F.lit(1.0) - F.aggregate(own, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
@@ -171,10 +219,10 @@ def measure_quality(
     )
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", references: References = TYPED) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, whatever their names."""
     # The text goes once through each row; a null one is never kept.
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
     rows = docs.select(F.struct(F.lit(1).alias("one"), *others).alias("_row"), F.col(f"`{text}`").alias("text"))
-    kept = measure_quality(rows, keep=("_row",), with_text=True).where("kept")
+    kept = measure_quality(rows, keep=("_row",), with_text=True, references=references).where("kept")
     return kept.select(*[F.col("_text" if c == text else f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

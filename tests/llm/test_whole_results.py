@@ -60,6 +60,35 @@ def test_twins(spark, name):
     assert oracle.difference(oracle.spark_rows(entry.queries()[name](spark, SMALL)), oracle.sql_rows(con, sql)) is None
 
 
+def test_references_learned_from_a_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "word", None), (-4, "word", "xx")], "doc_id long, text string, lang string")
+    learned = quality.learn_references(docs.unionByName(odd).withColumn("a.b", F.lit(1)), ["en", "de", "none"])
+    plain: dict[str, Counter] = {"en": Counter(), "de": Counter()}
+    total, classes = Counter(), {"en": [1] * 6, "de": [1] * 6}
+    for r in docs.where("lang in ('en', 'de') and text is not null").collect():
+        words = split_words(r.text)
+        total[r.lang] += len(words)
+        plain[r.lang].update(w.lower() for w in words if w.isalpha() and (w[1:] == "" or w[1:].islower()))
+        for c in r.text:
+            place = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\x0b\x0c\r" else 4 if c < "\x80" else 5
+            classes[r.lang][place] += 1
+    assert set(learned.words) == set(learned.chars) == {"en", "de"}
+    for name, counted in plain.items():
+        best = sorted(counted.items(), key=lambda wn: (-wn[1], wn[0]))[: quality.COMMON_WORDS]
+        assert learned.words[name] == pytest.approx({w: n / (total[name] + 1) for w, n in best})
+        assert learned.chars[name] == pytest.approx([n / sum(classes[name]) for n in classes[name]])
+    # Texts that the labels call good are near the references of their languages, noise is not.
+    good = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").select("doc_id")
+    own = docs.where("lang in ('en', 'de')").join(good, "doc_id", "left_semi")
+    judged = quality.measure_quality(own, references=learned).where("char_distance is not null")
+    assert judged.where("kept").count() == judged.count() > 0
+    noise = spark.createDataFrame([(1, " ".join(f"Q{n}Z#{n * 7}" for n in range(400)))], "doc_id long, text string")
+    assert not quality.measure_quality(noise, references=learned).first().kept
+    with pytest.raises(ValueError):
+        quality.learn_references(docs, ["none"])
+
+
 def test_parts_of_texts_have_the_ids_of_the_library():
     """Random texts of white space, marks, contractions, letters of several scripts and a special token, in Arrow runs."""
     rnd = random.Random(11)
