@@ -26,12 +26,13 @@ LAST_MILLIS = 8_640_000_000_000_000
 LAST_YEAR = 275_760
 
 
-def _present(value: Column) -> Column:
-    """Neither null, nor an empty text, nor the number zero; the text "0" is a value."""
-    filled = F.when(F.typeof(value) == "string", value.cast("string") != "").otherwise(
-        ~value.try_cast("double").eqNullSafe(F.lit(0.0))
-    )
-    return value.isNotNull() & filled
+def _present(text: Column) -> Column:
+    return text.isNotNull() & (text.cast("string") != "")
+
+
+def _nonzero(value: Column) -> Column:
+    """Not the number zero; the text "0" is a value."""
+    return (F.typeof(value) == "string") | ~value.try_cast("double").eqNullSafe(F.lit(0.0))
 
 
 def billing_objects(payments: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def classify_events(
     wrong_token = F.lit(False) if not token else ~F.col("secret_token").eqNullSafe(F.lit(token))
     outcome = (
         F.when(wrong_token, "bad_token")
-        .when(~_present(F.col("object_id")), "no_id")
+        .when(~(_present(F.col("object_id")) & _nonzero(F.col("object_id"))), "no_id")
         .when(F.col("found_in").isNull(), "unverifiable")
         .when(~F.col("status").eqNullSafe(F.lit("paid")), "not_paid")
         .when(~_present(F.col("user_id")), "no_user")
