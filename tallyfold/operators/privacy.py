@@ -150,7 +150,9 @@ def pseudonymise(
 
     runs = docs.select(*key, owner, F.explode(_runs(_pieces(F.col(body)), sizes)).alias("_run"))
     runs = runs.select(*key, owner, F.col("_run.at").alias("at"), F.col("_run.n").alias("n"), F.col("_run.name").alias("words"))
-    met = runs.join(dealt_anew(codes.select(owner, "words", "number"), [owner, "words"]), [owner, "words"])
+    # Both sides are much larger than the files they are estimated from: neither is ever sent to the driver.
+    known = dealt_anew(codes.select(owner, "words", "number"), [owner, "words"]).hint("merge")
+    met = runs.join(known, [owner, "words"])
     # Of runs that begin at one word the longest comes first. At most one element per run of the document.
     hit = F.struct("at", (-F.col("n")).alias("back"), F.col("number").cast("bigint").alias("number"))
     hits = met.groupBy(*key).agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
@@ -239,7 +241,7 @@ def restore(
     numbers = F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(1)))
     used = marked.where("not _same").select(*key, owner, F.explode(numbers).alias("_n"))
     known = mapping.select(owner, F.col("number").cast("string").alias("_n"), "name")
-    met = used.join(known, [owner, "_n"])
+    met = used.join(known.hint("merge"), [owner, "_n"])
     hits = met.groupBy(*key).agg(F.collect_list(F.struct("_n", "name")).alias("_hits"))
     between = F.split(body, f"{code}[0-9]+", -1)
     exact = F.array_join(
