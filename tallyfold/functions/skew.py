@@ -54,6 +54,16 @@ def measure(df: DataFrame, keys) -> Hot:
     return Hot(stored(counts.where(F.col("_rows") > limit).select(*keys), "hot-keys"), int(held), limit)
 
 
+def expected(df: DataFrame, keys, share: int) -> Hot:
+    """The keys that one of ``share`` parts of a table lets expect to be hot in the whole; a key it misses costs time only."""
+    keys = _columns(keys)
+    limit = max(task_rows(df), 1)
+    counts = df.select(*keys).groupBy(*keys).agg((F.count(F.lit(1)) * share).alias("_rows"))
+    values = stored(counts.where(F.col("_rows") > limit), "hot-keys")
+    held = values.agg(F.sum("_rows")).first()[0]
+    return Hot(values.select(*keys) if held else None, int(held or 0), limit)
+
+
 def split(df: DataFrame, keys, hot: Hot) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ordinary keys and those of hot keys (None when there are none)."""
     keys = _columns(keys)
@@ -119,6 +129,16 @@ def running_max(value: Column) -> Running:
     )
 
 
+def running_min(value: Column) -> Running:
+    return Running(
+        inside=lambda w: F.min(value).over(_up_to_here(w)),
+        total=lambda here: here,
+        carry=lambda c, w: F.min(c).over(_before(w)),
+        through=lambda c, w: F.min(c).over(_up_to_here(w)),
+        merge=lambda here, c, first: F.least(here, c),
+    )
+
+
 def running_last(value: Column) -> Running:
     """The latest non-null value up to and including this row."""
     return Running(

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import dealt_anew
+from ..functions.skew import OrderedRows, dealt_anew, expected, running_min
 from ..functions.text import let, word_runs, words
 from ..session import stored
 
 
+# Very common passages are looked for in one of so many parts of the entries; they take another plan with the same result.
+_PARTS = 64
+
+
 def text_digests(entries: DataFrame, key: str, body: str) -> DataFrame:
     """``key`` and ``digest`` of the text, stored so that texts are read once for all that follows."""
     return stored(entries.select(key, F.unhex(F.sha2(body, 256)).alias("digest")), "digests")
@@ -53,35 +57,32 @@ def passage_origins(
     # Texts are cut where they are read. A later copy of a text owns no passage, as the first one has a smaller key, so
     # copies need not be dropped before the passages are shared out, and no text is ever shuffled.
     hashed = entries.select(key, _passages(F.col(body), size).alias("all"))
-    exploded = hashed.select(
-        key, F.size("all").cast("long").alias("passages"), F.explode_outer("all").alias("hex")
-    )
-    # Read four times below, so hashed once: 16 bytes a passage instead of parsing texts again.
-    rows = stored(exploded.select(key, "passages", F.unhex("hex").alias("passage")), "passages")
-    sizes = rows.groupBy(key).agg(F.max("passages").alias("passages")).join(firsts, key, "left_semi")
-    passages = rows.select(key, "passage").where("passage is not null")
-    owners = passages.groupBy("passage").agg(
-        F.min(key).alias("owner"), F.count(F.lit(1)).alias("n")
+    exploded = hashed.select(key, F.size("all").cast("long").alias("n"), F.posexplode_outer("all").alias("at", "hex"))
+    # One row of each entry carries the number of its passages. An entry without any has a row of its own, dealt by its key.
+    rows = exploded.select(
+        F.coalesce(F.unhex("hex"), F.col(key).cast("string").cast("binary")).alias("passage"),
+        key,
+        F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("n")).alias("passages"),
     )
-    # A passage of one entry owns itself and needs no join back.
-    shared = owners.where("n > 1").select("passage", "owner")
-    met = passages.join(dealt_anew(shared, "passage"), "passage")
-    taken = met.where(F.col("owner") != F.col(key)).groupBy(key, "owner").agg(
-        F.count(F.lit(1)).alias("shared")
+    # Passages move once. In the order of the keys the first that has a passage is its owner.
+    part = entries.where(F.pmod(F.xxhash64(key), F.lit(_PARTS)) == 0)
+    common = part.select(F.explode(_passages(F.col(body), size)).alias("hex")).select(F.unhex("hex").alias("passage"))
+    ordered = OrderedRows(rows, "passage", [F.col(key).asc_nulls_last()], expected(common, "passage", _PARTS))
+    owned = ordered.add(owner=running_min(F.when(F.coalesce("passages", F.lit(1)) > 0, F.col(key)))).rows()
+    foreign = F.coalesce(F.col("owner") != F.col(key), F.lit(False)) & (F.coalesce("passages", F.lit(1)) > 0)
+    owned = owned.withColumn("foreign", foreign).where("foreign or passages is not null")
+    taken = owned.groupBy(key, "owner").agg(
+        F.count_if("foreign").alias("shared"), F.max("passages").alias("passages")
     )
     # The source with most passages; among equals the smallest key.
+    used = F.col("shared") > 0
     per_entry = taken.groupBy(key).agg(
+        F.max("passages").alias("passages"),
         F.sum("shared").alias("copied"),
+        F.min_by(F.when(used, F.col("owner")), F.when(used, F.struct(-F.col("shared"), F.col("owner")))).alias("source"),
         F.max("shared").alias("from_source"),
-        F.min_by("owner", F.struct(-F.col("shared"), F.col("owner"))).alias("source"),
-    )
-    return sizes.join(per_entry, key, "left").select(
-        key,
-        "passages",
-        F.coalesce("copied", F.lit(0)).alias("copied"),
-        "source",
-        F.coalesce("from_source", F.lit(0)).alias("from_source"),
     )
+    return per_entry.join(firsts, key, "left_semi").select(key, "passages", "copied", "source", "from_source")
 
 
 def find_copies(
