@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +67,15 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             np.maximum(widest[:-more], widest[more:], out=widest[:-more])
             widest[-more:] = 255
             have += more
-        selector[widest <= max(s - 1, 0)] = s
+        # Where selector s fits, those above it do, as they pack fewer and wider ids: each that fits takes one off.
+        selector -= (widest <= max(s - 1, 0)).view(np.uint8)
     selector = selector[at]
-    take = np.maximum(COUNTS, 1).astype(np.int16)[selector]
-    starts, at, step = [], 0, take.tolist()
+    # As bytes, which hold no object for each id.
+    step = np.maximum(COUNTS, 1).astype(np.uint8)[selector].tobytes()
+    starts, at = [], 0
+    keep = starts.append
     while at < n:
-        starts.append(at)
+        keep(at)
         at += step[at]
     starts = np.array(starts, np.int64)
     kinds = selector[starts]
@@ -202,10 +205,12 @@ def cut(texts: pa.Array, whole: list[str]) -> tuple[pa.Array, np.ndarray, np.nda
                 begins[first + 1 : end] = False
                 alone.append(first)
     starts = np.flatnonzero(begins)
-    blanks = np.add.reduceat(white, starts, dtype=np.int64)
+    # White space stands at the beginning of a part only, but in texts that are one part.
+    opening = white[starts]
     long = np.diff(starts, append=len(points)) > 1
-    how = np.where((blanks == 1) & (points[starts] == 32) & long, BLANK_BEFORE, ALONE).astype(np.uint8)
-    how[blanks == 0] = LINE_AFTER
+    more = white[np.minimum(starts + 1, len(points) - 1)]
+    how = np.where(opening & ~more & (points[starts] == 32) & long, BLANK_BEFORE, ALONE).astype(np.uint8)
+    how[~opening] = LINE_AFTER
     how[np.searchsorted(starts, alone)] = ALONE
     at = starts if byte is None else byte[starts]
     offsets = np.append(at, len(data)).astype(np.int64)
@@ -300,7 +305,7 @@ class WordEncoder:
         parts, how, upto = cut(texts.cast(pa.large_string()).fill_null(""), self.specials)
         coded = parts.dictionary_encode()
         index, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        place = np.fromiter((self.places.get(name, -1) for name in names), np.int64, len(names))
+        place = np.fromiter(map(self.places.get, names, repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             own = np.empty(len(names), np.uint8)
